@@ -106,3 +106,13 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total:
     first = is_hot.where(F.col("__hot").isNotNull()).drop("__hot").join(F.broadcast(hot), key, "inner")
     rest = is_hot.where(F.col("__hot").isNull()).drop("__hot").join(cold, key, how)
     return first.unionByName(rest)
+
+
+#: Row ids that are broadcast, at most (16 MB); longer lists are joined.
+SENT_IDS = 2_000_000
+
+
+def picked(df: DataFrame, ids: DataFrame, how: str, name: str = "rid", most: int = SENT_IDS) -> DataFrame:
+    """Rows of df whose row id is ("left_semi") or isn't ("left_anti") among ids.rid; ids are counted, and broadcast if few."""
+    ids = ids.select(F.col("rid").alias(name))
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, name, how)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm import bpe, fingerprints, licenses, lm, packing, toxicity, warc
+from siftstone.llm import ann, bpe, fingerprints, jaccard, licenses, lm, packing, repeats, toxicity, warc
 from siftstone.llm.common import table
 
 
@@ -40,12 +40,24 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_lm_scoring, op3_fingerprints, op4_packing, op5_warc, op6_bpe, op9_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_lm_scoring, op3_fingerprints, op4_packing, op5_warc, op6_bpe, op7_nearest_neighbours, op8_suffix_array_dedup, op9_toxicity, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -210,39 +210,39 @@ def learn(docs: DataFrame, labels: DataFrame, mod: int, out: int, sample: int =
     return Scorer(model, logistic(x, y, np.where(y == 1, share[1], share[0])))
 
 
-def score(docs: DataFrame, labels: DataFrame, mod: int = 4, out: int = 2, keep: bool = False) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, mod: int = 4, out: int = 2) -> DataFrame:
     """Toxicity of every whole text; a row for each row of docs.
 
     docs has doc_id and text, labels has doc_id and toxic (0, 1; other values and nulls are ignored; of several labels of one id the
-    largest counts). Learns from rows of labels whose crc32(doc_id as text) mod `mod` isn't `out`, at most SAMPLE of each
-    class. A null text is empty and has the score of no evidence. A null doc_id stays null and is in no class. Repeated rows give
-    repeated rows; an empty table gives no rows. Unless both classes have labelled rows, every score is 0. keep: return the
-    columns of docs, with score and predicted, instead. The pass over docs is narrow.
+    largest counts); other columns are ignored. Learns from rows of labels whose crc32(doc_id as text) mod `mod` isn't `out`, at most
+    SAMPLE of each class. A null text is empty and has the score of no evidence. A null doc_id stays null and is in no class. Repeated
+    rows give repeated rows; an empty table gives no rows. Unless both classes have labelled rows, every score is 0. The pass
+    over docs is narrow.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    scorer = spark.sparkContext.broadcast(learn(texts(docs), labels.select("doc_id", "toxic"), mod, out))
-
-    if keep:
-        mine = docs.drop("score", "predicted")
-
-        @F.pandas_udf("double")
-        def rate(column):
-            return scorer_values(scorer.value, column)
-
-        scored = mine.withColumn("score", rate(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-        return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    ship(docs.sparkSession)
+    scorer = docs.sparkSession.sparkContext.broadcast(learn(texts(docs), labels.select("doc_id", "toxic"), mod, out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rate = scorer.value
         for batch in batches:
-            s = np.concatenate([rate(batch.column("text").slice(i, 500).to_pylist()) for i in range(0, batch.num_rows, 500)]) if batch.num_rows else np.zeros(0)
+            s = rated(scorer.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], schema=ARROW)
 
     return texts(docs).withColumn("held_out", crc_mod("doc_id", mod) == out).mapInArrow(run, SCHEMA)
 
 
-def scorer_values(scorer: Scorer, column):
-    import pandas as pd
+def rated(scorer: Scorer, column: pa.Array, at_once: int = 500) -> np.ndarray:
+    parts = [scorer(column.slice(i, at_once).to_pylist()) for i in range(0, len(column), at_once)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, mod: int = 4, out: int = 2) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, all columns as they are; scores and special cases as in score()."""
+    ship(docs.sparkSession)
+    scorer = docs.sparkSession.sparkContext.broadcast(learn(texts(docs), labels.select("doc_id", "toxic"), mod, out))
+
+    @F.arrow_udf("double")
+    def rate(column: pa.Array) -> pa.Array:
+        return pa.array(rated(scorer.value, column))
 
-    return pd.Series(np.concatenate([scorer(column.iloc[i : i + 500].tolist()) for i in range(0, len(column), 500)]) if len(column) else [], dtype="float64")
+    scored = docs.withColumn("__toxicity", rate(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return scored.where(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
