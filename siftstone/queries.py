@@ -1,9 +1,313 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries: each operator over whole tables, and the same in SQL for DuckDB.
 
+documents become files (repository = source, path = source/lang/doc_id.lang), pages become html files, and a small code corpus is made of
+part and nation by the same string functions in both engines.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftstone.functions import text, vectors
+from siftstone.functions.text import query_phrases, query_tokens
+from siftstone.operators import catalogue, chunking, fusion, lexical, snapshot, symbols, vector
+from siftstone.sources.ignore import SKIPPED_DIRS, SKIPPED_ENDINGS, SKIPPED_NAMES, SKIPPED_PREFIX, binary_sniff, name_skip
+from siftstone.streaming import watch
+
+Query = Callable[[SparkSession, str], DataFrame]
+WINDOW, OVERLAP = 5, 1
+WORDS = "the license version of nothing.en nation"
+REPO_TIES = ["repo", "path", "start_line", "chunk_id"]
+
+# --- the corpora -----------------------------------------------------------------------------------------------------
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang")))
+    return read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"), path.alias("path"), F.col("text").alias("content"), F.col("lang").alias("language"))
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    body = F.concat(F.lit("import os\nclass P"), key, F.lit(":\n    x = 1\n    def m_"), key, F.lit("(self):\n        return "), F.col("p_size").cast("string"), F.lit("\ndef make_"), F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", "_"), F.lit("():\n    return P"), key, F.lit("()\n"))
+    code = p.select(F.lit("parts").alias("repo"), F.concat(F.lit("src/part_"), key, F.lit(".py")).alias("path"), body.alias("content"))
+    n = read(spark, sf_dir, "nation")
+    name = F.regexp_replace("n_name", "[^A-Za-z0-9]", "_")
+    js = F.concat(F.lit("export class "), name, F.lit(" {\n}\nexport function load_"), F.lower(name), F.lit("() {\n}\nconst pick_"), F.lower(name), F.lit(" = (x) => x\n"))
+    return code.unionByName(n.select(F.lit("nations").alias("repo"), F.concat(F.lit("web/"), F.lower(name), F.lit(".js")).alias("path"), js.alias("content")))
+
+
+FILES = "(SELECT doc_id, source AS repo, source || '/' || lang || '/' || doc_id || '.' || lang AS path, text AS content, lang AS language FROM documents)"
+CODE = (
+    "(SELECT 'parts' AS repo, 'src/part_' || p_partkey || '.py' AS path, 'import os' || chr(10) || 'class P' || p_partkey || ':' || chr(10) || '    x = 1' || chr(10) || '    def m_' || p_partkey || '(self):' || chr(10) || '        return ' || p_size || chr(10) || 'def make_' || regexp_replace(lower(p_brand), '[^a-z0-9]', '_', 'g') || '():' || chr(10) || '    return P' || p_partkey || '()' || chr(10) AS content FROM part"
+    " UNION ALL SELECT 'nations', 'web/' || lower(n) || '.js', 'export class ' || n || ' {' || chr(10) || '}' || chr(10) || 'export function load_' || lower(n) || '() {' || chr(10) || '}' || chr(10) || 'const pick_' || lower(n) || ' = (x) => x' || chr(10) FROM (SELECT regexp_replace(n_name, '[^A-Za-z0-9]', '_', 'g') AS n FROM nation))"
+)
+LINES = "CASE WHEN string_split(content, chr(10))[-1] = '' THEN list_slice(string_split(content, chr(10)), 1, -2) ELSE string_split(content, chr(10)) END"
+
+
+def windows_sql(files: str) -> str:
+    step = WINDOW - OVERLAP
+    return f"""(SELECT repo, path, i * {step} + 1 AS start_line, least(n, i * {step} + {WINDOW}) AS end_line, array_to_string(list_slice(lines, CAST(i * {step} + 1 AS BIGINT), CAST(least(n, i * {step} + {WINDOW}) AS BIGINT)), chr(10)) AS content
+      FROM (SELECT *, unnest(range(CAST(greatest(0, ceil((n - {WINDOW}) / {step}.0)) AS BIGINT) + 1)) AS i FROM (SELECT repo, path, lines, len(lines) AS n FROM (SELECT repo, path, {LINES} AS lines FROM {files} f) WHERE len(lines) > 0)))"""
+
+
+def chunk_sql(files: str) -> str:
+    return f"(SELECT *, substr(sha256(repo || chr(0) || path || chr(0) || start_line || chr(0) || end_line || chr(0) || sha256(content)), 1, 24) AS chunk_id FROM {windows_sql(files)} w)"
+
+
+def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.line_windows(doc_files(spark, sf_dir), WINDOW, OVERLAP)
+
+
+def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.line_windows(code_files(spark, sf_dir), WINDOW, OVERLAP)
+
+
+# --- catalogue -------------------------------------------------------------------------------------------------------
+
+
+def list_files_glob_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.list_files(doc_files(spark, sf_dir), "src1*/??/*[0-4].*", ".EN", 200).select("repo", "path", "language", F.sha2("content", 256).alias("file_hash"), F.octet_length("content").cast("long").alias("size"))
+
+
+def list_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.distinct_lower(doc_files(spark, sf_dir).select("language").unionByName(code_files(spark, sf_dir).select(text.path_language(F.col("path")).alias("language"))), "language")
+
+
+def list_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.distinct_lower(symbols.line_symbols(code_files(spark, sf_dir)), "kind")
+
+
+def with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc chunks with the embedding whose vec_id is the document's id; most have none."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return doc_chunks(spark, sf_dir).join(e, "doc_id", "left")
+
+
+def repo_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = doc_files(spark, sf_dir)
+    repos = files.select(F.col("repo").alias("name")).distinct().unionByName(read(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
+    return catalogue.repo_summaries(repos, files, with_vectors(spark, sf_dir))
+
+
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalogue.counts(with_vectors(spark, sf_dir), "embedding")
+    return c.select(F.col("n").alias("chunks"), F.col("embedded").alias("embedded_chunks"), (F.col("embedded") < F.col("n")).alias("degraded"))
+
+
+def read_file_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = text.line_slice(F.col("content"), 2, 4)
+    return doc_files(spark, sf_dir).select("repo", "path", cut.alias("c"), F.sha2("content", 256).alias("file_hash")).select("repo", "path", "c.start_line", "c.end_line", "c.content", "file_hash")
+
+
+def symbols_exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = symbols.symbols_to_chunks(symbols.line_symbols(code_files(spark, sf_dir)), code_chunks(spark, sf_dir), ["repo", "path"])
+    return catalogue.find_symbols(found, query="M_1", limit=500)
+
+
+# --- chunks and symbols ----------------------------------------------------------------------------------------------
+
+
+def line_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_chunks(spark, sf_dir).select("repo", "path", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
+
+
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("repo"), F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
+    return chunking.line_windows(pages, WINDOW, OVERLAP).select("repo", "path", "start_line", "end_line", "chunk_id")
+
+
+def symbol_extract_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.line_symbols(code_files(spark, sf_dir))
+
+
+def symbol_to_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = symbols.line_symbols(code_files(spark, sf_dir))
+    return symbols.symbols_to_chunks(found, code_chunks(spark, sf_dir), ["repo", "path"])
+
+
+def chunk_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that stand in a chunk of their file as whole words."""
+    found, c = symbols.line_symbols(code_files(spark, sf_dir)).select("repo", "path", "symbol"), code_chunks(spark, sf_dir)
+    return c.join(found, ["repo", "path"]).where(symbols.has_symbol(F.col("content"), F.col("symbol"))).select("chunk_id", "symbol").distinct()
+
+
+def kind_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = symbols.kind_chunks(symbol_to_chunk(spark, sf_dir), "class")
+    return code_chunks(spark, sf_dir).join(of, "chunk_id", "left_semi").select("chunk_id", "path", "start_line")
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+
+
+def fts_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = lexical.postings_of(doc_files(spark, sf_dir), "doc_id", ["path", "content"])
+    return posts.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("df"))
+
+
+def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.phrase_counts(lexical.postings_of(doc_files(spark, sf_dir), "doc_id", ["content"]), [["of", "the"], ["mit", "license"], ["the"]], "doc_id")
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id, bm25 and the chunk's place for the words."""
+    c = doc_chunks(spark, sf_dir)
+    posts, phrases = lexical.postings_of(c, "chunk_id", ["path", "content"]), query_phrases(WORDS)
+    length = F.size(text.fts_tokens(F.col("path"))) + F.size(text.fts_tokens(F.col("content")))
+    lengths = c.select(*REPO_TIES, length.alias("doc_len"))
+    n, tokens = lengths.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
+    corpus, counts = lexical.Corpus(n, tokens), lexical.phrase_counts(posts, phrases)
+    scored = lexical.bm25(counts, lengths, corpus, lexical.phrase_weights(counts, corpus, phrases))
+    return scored.select("chunk_id", F.round("bm25", 6).alias("bm25")).join(lengths.select(*REPO_TIES), "chunk_id")
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(spark, sf_dir).orderBy("bm25", *REPO_TIES).limit(100).select("chunk_id", "bm25")
+
+
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = lexical.top_ranked(_bm25(spark, sf_dir), ["bm25", *REPO_TIES], 100)
+    return ranked.select("repo", "path", "start_line", F.round(lexical.rank_score(F.col("rank")), 4).alias("score"), F.col("rank").cast("int").alias("rank")).where("rank < 10")
+
+
+def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return read(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+
+
+def vector_cosine_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector.cosine_scan(read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir))
+    return found.select("vec_id", F.round("similarity", 4).alias("similarity"), F.round(F.lit(3.0) * F.col("similarity"), 3).alias("score"))
+
+
+def vector_knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = vector.knn_l2(read(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), vector.neighbours_wanted(10), ["vec_id"])
+    return best.select("vec_id", F.round("distance", 4).alias("distance"), F.round("similarity", 4).alias("similarity"))
+
+
+def path_symbol_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query, tokens = "part_1 load_china", query_tokens("part_1 load_china")
+    of = symbols.line_symbols(code_files(spark, sf_dir)).groupBy("repo", "path").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    return of.select("repo", "path", fusion.path_score(F.col("path"), query, tokens).alias("path_score"), fusion.symbol_score(F.col("symbols"), tokens).alias("symbol_score"))
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """bm25 ranks, cosines and paths of doc chunks, keyed by chunk."""
+    ranked = lexical.top_ranked(_bm25(spark, sf_dir), ["bm25", *REPO_TIES], 100)
+    near = vector.cosine_scan(with_vectors(spark, sf_dir), _query_vector(spark, sf_dir))
+    c = doc_chunks(spark, sf_dir).select("chunk_id", "path")
+    score = fusion.path_score(F.col("path"), WORDS, query_tokens(WORDS))
+    return [fusion.signal(ranked, "bm25", lexical.rank_score(F.col("rank"))), fusion.signal(near, "vector", F.lit(3.0) * F.col("similarity"), F.col("similarity")), fusion.signal(c.where(score > 0), "path", score)]
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fusion.fused(_signals(spark, sf_dir)).withColumn("score", F.round("score", 4)).join(doc_chunks(spark, sf_dir).select(*REPO_TIES), "chunk_id")
+    best = rows.orderBy(F.desc("score"), *REPO_TIES).limit(20)
+    return best.select("chunk_id", "repo", "path", "start_line", F.round("score", 3).alias("score"), F.array_join("reasons", "+").alias("score_reason"), F.round("similarity", 4).alias("vector_similarity"))
+
+
+def low_confidence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fusion.fused(_signals(spark, sf_dir)).withColumn("similarity", F.round("similarity", 4))
+    return rows.groupBy(fusion.low_confidence(F.col("reasons"), F.col("similarity"), 0.3).alias("low_confidence"), F.array_join("reasons", "+").alias("score_reason")).agg(F.count("*").alias("n"))
+
+
+def search_with_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters on path and language after fusion, before the limit."""
+    rows = fusion.fused(_signals(spark, sf_dir)).withColumn("score", F.round("score", 4)).join(doc_chunks(spark, sf_dir).select(*REPO_TIES), "chunk_id")
+    kept = rows.where(text.matches_glob(F.col("path"), "*/fr/*")).where(F.lower(text.path_language(F.col("path"))) == "fr")
+    return kept.orderBy(F.desc("score"), *REPO_TIES).limit(10).select("chunk_id", "path", "start_line", F.round("score", 3).alias("score"))
+
+
+# --- ingestion and the rest ------------------------------------------------------------------------------------------
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """present: documents but every seventh, of which every fifth has another text; stored: documents but every eleventh."""
+    d = doc_files(spark, sf_dir).select("doc_id", "repo", "path", "content")
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    present = d.where("doc_id % 7 != 0").select("repo", "path", F.sha2(changed, 256).alias("file_hash"), F.octet_length("content").cast("long").alias("size"), (F.col("doc_id") % 13 != 0).alias("readable"))
+    return present, d.where("doc_id % 11 != 0").select("repo", "path", F.sha2("content", 256).alias("file_hash"))
+
+
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    present, stored = _snapshots(spark, sf_dir)
+    return snapshot.diff(present, stored, snapshot.vector_state(with_vectors(spark, sf_dir).select("repo", "path", "embedding")), snapshot.Identity())
+
+
+def delete_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    present, stored = _snapshots(spark, sf_dir)
+    return snapshot.missing(stored, present).select("repo", "path")
+
+
+def skip_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules on names over paths that hold every name in the lists."""
+    names = [*sorted(SKIPPED_DIRS), *sorted(SKIPPED_NAMES), *(f"x{e}" for e in SKIPPED_ENDINGS), ".env.local", "main.py", "env", "keys.txt"]
+    shapes = F.array(F.lit("{}"), F.lit("src/{}"), F.lit("{}/a.py"), F.lit("x{}y/b.md"))
+    rows = read(spark, sf_dir, "nation").select(F.explode(F.array(*map(F.lit, names))).alias("name"), F.col("n_name").alias("n")).select("name", "n", F.explode(shapes).alias("shape"))
+    path = F.concat(F.lower("n"), F.lit("/"), F.regexp_replace("shape", F.lit(r"\{\}"), F.col("name")))
+    return rows.select(path.alias("path")).distinct().withColumn("skipped", name_skip(F.col("path")))
+
+
+def binary_sniff_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as they are, with a NUL, cut within a character, and with a bad byte."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))
+    shapes = {"plain": F.col("b"), "nul": F.concat("b", F.lit(b"\0")), "bad": F.concat(F.lit(b"ok \xff\xfe"), F.col("b"))}
+    rows = [d.select("doc_id", F.lit(k).alias("shape"), binary_sniff(v).alias("binary"), F.octet_length("b").alias("size")) for k, v in shapes.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("shape", "binary", (F.col("size") < 4096).alias("short")).agg(F.count("*").alias("n"))
+
+
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_files(spark, sf_dir).select("doc_id", text.snippet(F.concat(F.lit(" \n"), F.col("content"), F.lit("\t "))).alias("snippet"))
+
+
+def embedding_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.round(F.avg(vectors.norm(F.col("embedding"))), 6).alias("norm"))
+
+
+def path_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = code_files(spark, sf_dir).select("path").unionByName(doc_files(spark, sf_dir).select("path"))
+    odd = spark.createDataFrame([(x,) for x in ("Makefile", ".bashrc", "a.tar.gz", "src/Auth.PY", "x/.env", "a.b/c")], "path string")
+    return p.unionByName(odd).groupBy(text.path_language(F.col("path")).alias("language"), text.parser_language(F.col("path")).alias("parser")).agg(F.count("*").alias("n"))
+
+
+def change_feed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes to users' last state; a purchase counts as a deletion."""
+    e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value", (F.col("event_type") == "purchase").alias("gone"))
+    stored = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("none").alias("event_type"), F.col("c_acctbal").alias("value"))
+    return watch.merge(stored, e, ["user_id"], ["ts", "event_id"], "gone")
+
+
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watch.windowed_counts(read(spark, sf_dir, "events"))
+
+
+def conversations_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage's first word as a one-word query against conversations: matching turns."""
+    turns = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text")
+    posts = lexical.postings_of(turns, "turn_id", ["text"]).select("term", "turn_id").distinct()
+    first = read(spark, sf_dir, "benchmark").select("item_id", F.get(text.fts_tokens(F.col("text")), F.lit(0)).alias("term"))
+    return first.join(posts, "term").groupBy("item_id", "term").agg(F.count("*").alias("turns"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    list_files_glob_lang, list_languages, list_kinds, repo_summaries, status_counts, read_file_range, symbols_exact_first, line_window_chunks, chunk_ids, symbol_extract_regex, symbol_to_chunk,
+    chunk_symbols, kind_semi_join, fts_tokens, phrase_match, bm25_topk, lexical_search, vector_cosine_scan, vector_knn_l2, path_symbol_score, hybrid_search, low_confidence_flags, search_with_filters,
+    snapshot_diff, delete_missing, skip_rules, snippets, embedding_dims, path_languages, change_feed_merge, windowed_events, conversations_search,
+)} | {"binary_sniff": binary_sniff_query}
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    from siftstone.oracles import ORACLES
+
+    return dict(ORACLES)
