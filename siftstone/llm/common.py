@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -68,6 +69,12 @@ def dropped(df: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def is_scan(df: DataFrame) -> bool:
     """Whether a frame only reads files, so that each reading gives the same rows in the same order."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import is_scan, join_counted, picked, ship, texts, with_rid, written
+from siftstone.llm.common import dropped, is_scan, join_counted, picked, release, ship, texts, with_rid, written
 
 #: Bytes of a string that may occur once only, and of a gram.
 LENGTH, GRAM = 100, 32
@@ -63,8 +64,11 @@ def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return f(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, position, hash) of all anchors of some texts of at least LENGTH bytes each."""
+def anchors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, position, hash, first string, last string) of the anchors of texts of LENGTH bytes or more.
+
+    Each string belongs to the first of its grams with the least hash; the strings of an anchor follow one another.
+    """
     flat = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts])
     starts = np.cumsum(sizes) - sizes
@@ -73,30 +77,39 @@ def anchors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.ones(len(least), bool)
     for end in (starts + sizes)[:-1]:
         inside[end - LENGTH + 1 : end] = False  # these strings would cross into the next text
-    least[~inside] = 0
-    padded = np.concatenate([np.zeros(SPAN - 1, np.uint64), least, np.zeros(SPAN - 1, np.uint64)])
+    shown = np.where(inside, least, np.uint64(0))
+    padded = np.concatenate([np.zeros(SPAN - 1, np.uint64), shown, np.zeros(SPAN - 1, np.uint64)])
     at = np.flatnonzero(sliding(padded, SPAN, False) == h)
+    strings = np.flatnonzero(inside)
+    number = np.searchsorted(at, strings)  # the next anchor; go on to the one whose hash is the string's least
+    open_ = np.flatnonzero(h[at[number]] != least[strings])
+    while len(open_):
+        number[open_] += 1
+        open_ = open_[h[at[number[open_]]] != least[strings[open_]]]
+    owned, first, count = np.unique(number, return_index=True, return_counts=True)
+    at, lo, hi = at[owned], strings[first], strings[first + count - 1]
     owner = np.searchsorted(starts, at, side="right") - 1
-    return owner, at - starts[owner], h[at]
+    return owner, at - starts[owner], h[at], lo - starts[owner], hi - starts[owner]
 
 
 def anchor_batches(texts_: Iterator[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number, positions, hashes) of each text; short ones together, long ones by themselves."""
+    """(number, places, hashes) of each text; short ones together, long ones by themselves. See packed_place()."""
     held, numbers, size = [], [], 0
 
     def flush() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        owner, at, h = anchors(held)
+        owner, at, h, lo, hi = anchors(held)
+        places = packed_place(at, lo, hi)
         cuts = np.searchsorted(owner, np.arange(len(held) + 1))
         for k, n in enumerate(numbers):
-            yield n, at[cuts[k] : cuts[k + 1]], h[cuts[k] : cuts[k + 1]]
+            yield n, places[cuts[k] : cuts[k + 1]], h[cuts[k] : cuts[k + 1]]
 
     for n, text in enumerate(texts_):
         if len(text) < LENGTH:
             continue
         if len(text) > 4 * CHUNK:
-            pieces = [(at, anchors([text[at : at + CHUNK + LENGTH - 1]])) for at in range(0, len(text) - LENGTH + 1, CHUNK)]  # they overlap, so every string is whole in one
-            p, first = np.unique(np.concatenate([at + p for at, (_, p, _) in pieces]), return_index=True)
-            yield n, p, np.concatenate([h for _, (_, _, h) in pieces])[first]
+            for begin in range(0, len(text) - LENGTH + 1, CHUNK):  # every string begins in one piece, and is whole there
+                _, at, h, lo, hi = anchors([text[begin : begin + CHUNK + LENGTH - 1]])
+                yield n, packed_place(at + begin, lo + begin, hi + begin), h
             continue
         held.append(text)
         numbers.append(n)
@@ -108,30 +121,42 @@ def anchor_batches(texts_: Iterator[bytes]) -> Iterator[tuple[int, np.ndarray, n
         yield from flush()
 
 
+def packed_place(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """An anchor's position, and how far before it its first and last string begin, in one number."""
+    return (at << 14) | ((at - lo) << 7) | (at - hi)
+
+
+def unpacked_place(place: int) -> tuple[int, int, int]:
+    """Position, first string, last string."""
+    at = place >> 14
+    return at, at - ((place >> 7) & 127), at - (place & 127)
+
+
 # --- suffix arrays ---------------------------------------------------------------------------------------------------
 
 
-def words_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position on as a number that orders like them; text is padded by 8 bytes at least."""
-    out = np.zeros(len(at), np.uint64)
+def words_of(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as a number that orders like them; the last 7 positions have none."""
+    n = len(text) - 7
+    out = np.zeros(n, np.uint64)
     for i in range(8):
-        out = (out << np.uint64(8)) | text[at + i].astype(np.uint64)
+        out <<= np.uint64(8)
+        out |= text[i : n + i]
     return out
 
 
-def sorted_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+def sorted_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Positions by the first `depth` bytes from there on (zeros behind the end); refines only what is still tied."""
-    order = np.argsort(words_at(text, at), kind="stable")
-    at = at[order]
-    key = words_at(text, at)
+    at = at[np.argsort(words[at], kind="stable")]
+    key = words[at]
     tied = np.zeros(len(at), np.int64)  # group number of each place
     tied[1:] = np.cumsum(key[1:] != key[:-1])
+    open_ = np.arange(len(at))
     for d in range(8, depth, 8):
-        sizes = np.bincount(tied)
-        open_ = np.flatnonzero(sizes[tied] > 1)
+        open_ = open_[np.bincount(tied[open_], minlength=tied[-1] + 1 if len(tied) else 0)[tied[open_]] > 1]
         if not len(open_):
             break
-        key = words_at(text, at[open_] + d)
+        key = words[at[open_] + d]
         order = np.lexsort((key, tied[open_]))
         at[open_] = at[open_][order]
         key, group = key[order], tied[open_]
@@ -157,7 +182,7 @@ def suffix_array(text: bytes, depth: int = LENGTH) -> np.ndarray:
     decided = np.where(values != following, np.arange(n), n)
     decides = np.minimum.accumulate(decided[::-1])[::-1]  # where the run of equal bytes ends
     type_a = values[decides] > following[decides]
-    b = sorted_directly(t, np.flatnonzero(~type_a), depth + 8)
+    b = sorted_directly(words_of(t), np.flatnonzero(~type_a), depth + 8)
     firsts = values[b]
     out = np.empty(n, np.int64)
     bucket_a = [[] for _ in range(258)]
@@ -195,10 +220,11 @@ def common_prefixes(text: bytes, suffixes: np.ndarray, depth: int = LENGTH) -> n
     """Length of the common prefix of each suffix and the one before it, up to `depth`; 0 for the first."""
     n = len(text)
     t = np.frombuffer(text + bytes(depth + 16), np.uint8)
+    words = words_of(t)
     out = np.zeros(n, np.int64)
     open_ = np.arange(1, n)
     for d in range(0, depth, 8):
-        x, y = words_at(t, suffixes[open_] + d), words_at(t, suffixes[open_ - 1] + d)
+        x, y = words[suffixes[open_] + d], words[suffixes[open_ - 1] + d]
         same = x == y
         differ = (x ^ y)[~same]
         lead = np.zeros(len(differ), np.int64)
@@ -213,8 +239,8 @@ def common_prefixes(text: bytes, suffixes: np.ndarray, depth: int = LENGTH) -> n
     return np.minimum(np.minimum(out, limit), depth)
 
 
-def repeated(contexts: list[bytes], order: list[tuple], length: int = LENGTH) -> list[tuple[int, int]]:
-    """(context, start) of each string of `length` bytes that occurs earlier in these contexts.
+def repeated(contexts: list[bytes], order: list[tuple], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(context, start) of each string of `length` bytes that occurs earlier in these contexts, ascending.
 
     order[i] is (document, position) of the first byte of context i; strings at the same document and position are the same
     occurrence.
@@ -223,19 +249,16 @@ def repeated(contexts: list[bytes], order: list[tuple], length: int = LENGTH) ->
     sizes = np.array([len(c) for c in contexts])
     starts = np.cumsum(sizes) - sizes
     s = suffix_array(text, length)
-    lcp = common_prefixes(text, s, length)
+    run = np.cumsum(common_prefixes(text, s, length) < length)  # suffixes of one run share `length` bytes
+    many = np.bincount(run)[run] > 1
+    s, run = s[many], run[many]
     owner = np.searchsorted(starts, s, side="right") - 1
     within = s - starts[owner]
-    run = np.cumsum(lcp < length)  # suffixes of one run share `length` bytes
     whole = within + length <= sizes[owner]  # the string doesn't cross into the next context
     run, owner, within = run[whole], owner[whole], within[whole]
-    sizes_of = np.bincount(run) if len(run) else np.zeros(1, np.int64)
-    many = sizes_of[run] > 1
-    run, owner, within = run[many], owner[many], within[many]
     if not len(run):
-        return []
-    documents = sorted({d for d, _ in order})
-    number = {d: i for i, d in enumerate(documents)}
+        return owner, within
+    number = {d: i for i, d in enumerate(sorted({d for d, _ in order}))}
     doc = np.array([number[d] for d, _ in order])[owner]
     at = np.array([p for _, p in order])[owner] + within
     sort = np.lexsort((at, doc, run))
@@ -243,7 +266,19 @@ def repeated(contexts: list[bytes], order: list[tuple], length: int = LENGTH) ->
     first = np.append(True, run[1:] != run[:-1])
     head = np.flatnonzero(first)[np.cumsum(first) - 1]
     later = (doc != doc[head]) | (at != at[head])
-    return list(zip(owner[later].tolist(), within[later].tolist(), strict=True))
+    owner, within = owner[later], within[later]
+    sort = np.lexsort((within, owner))
+    return owner[sort], within[sort]
+
+
+def covered(owner: np.ndarray, begin: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, end) of the runs that strings of `length` bytes cover; owner and begin ascend."""
+    if not len(owner):
+        return owner, begin, begin
+    new = np.append(True, (owner[1:] != owner[:-1]) | (begin[1:] > begin[:-1] + length))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(owner)) - 1
+    return owner[first], begin[first], begin[last] + length
 
 
 # --- the pass over a corpus ------------------------------------------------------------------------------------------
@@ -269,58 +304,65 @@ def worth_sorting(contexts: list[bytes], lefts: list[int]) -> list[int]:
     return [i for i, (x, y) in enumerate(zip(left, right, strict=True)) if (x is not None and n_left[x] > 1) or (y is not None and n_right[y] > 1)]
 
 
-def marks_of(rows: Iterator[dict]) -> Iterator[list[tuple[int, int, int]]]:
-    """(rid, start, end) of repeated bytes; rows come sorted by hash, context and place, and are contexts of anchors."""
-    pool_c: list[bytes] = []
-    pool_o: list[tuple] = []
-    pool_r: list[int] = []
-    size = 0
-    group: list[dict] = []
-    out: list[tuple[int, int, int]] = []
-
-    def settle() -> None:
-        """Hand the differing contexts of one anchor to the pool."""
-        nonlocal size
-        if len(group) > 1:
-            for i in worth_sorting([r["context"] for r in group], [r["left"] for r in group]):
-                r = group[i]
-                pool_c.append(r["context"])
-                pool_o.append(((r["ord"], r["rid"]), r["start"]))
-                pool_r.append(r["rid"])
-                size += len(r["context"])
-        group.clear()
-
-    def sort_pool() -> None:
-        nonlocal size
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for i, within in repeated(pool_c, pool_o):
-            at = pool_o[i][1] + within
-            spans.setdefault(i, []).append((at, at + LENGTH))
-        out.extend((pool_r[i], a, b) for i, s in spans.items() for a, b in merged(s))
-        pool_c.clear(), pool_o.clear(), pool_r.clear()
-        size = 0
-
-    last, context = None, None
-    for r in rows:
-        if r["h"] != last:
-            settle()
-            last, context = r["h"], None
-            if size >= POOL:
-                sort_pool()
-        key = (r["left"], r["context"])
-        if key == context:  # a whole context that occurs earlier
-            if len(r["context"]) >= LENGTH:
-                out.append((r["rid"], r["start"], r["start"] + len(r["context"])))
-        else:
-            context = key
-            group.append(r)
-        if len(out) > 20_000:
-            yield out
-            out = []
-    settle()
-    if pool_c:
-        sort_pool()
-    yield out
+class Decider:
+    """Takes contexts sorted by hash, anchor's place, bytes and place in the corpus; gives (rid, start, end) of repeated bytes."""
+
+    def __init__(self):
+        self.last: tuple | None = None  # hash, left, context of the last row
+        self.group: list[tuple] = []  # first rows of the differing contexts of the last hash
+        self.contexts: list[bytes] = []
+        self.order: list[tuple] = []
+        self.rids: list[int] = []
+        self.size = 0
+
+    def settle(self, group: list[tuple]) -> None:
+        """Hand the differing contexts of one anchor to the pool: (doc_id, rid, start, left, context) each."""
+        for i in worth_sorting([g[4] for g in group], [g[3] for g in group]):
+            doc_id, rid, start, _, context = group[i]
+            self.contexts.append(context)
+            self.order.append((((0, 0) if doc_id is None else (1, doc_id), rid), start))
+            self.rids.append(rid)
+            self.size += len(context)
+
+    def sort_pool(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        owner, within = repeated(self.contexts, self.order)
+        owner, a, b = covered(owner, within)
+        base = np.array([p for _, p in self.order])[owner]
+        out = np.array(self.rids)[owner], base + a, base + b
+        self.contexts, self.order, self.rids, self.size = [], [], [], 0
+        return out
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        h, rid, start, left = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "rid", "start", "left"))
+        doc_id, context = batch.column("doc_id"), batch.column("context")
+        n = len(h)
+        same_h = np.append(self.last is not None and self.last[0] == h[0], h[1:] == h[:-1])
+        equal = pc.equal(context.slice(1), context.slice(0, n - 1)).to_numpy(zero_copy_only=False).astype(bool) if n > 1 else np.zeros(0, bool)
+        same = same_h & np.append(self.last is not None and self.last[1:] == (left[0], context[0].as_py()), equal & (left[1:] == left[:-1]))
+        self.last = (h[-1], left[-1], context[n - 1].as_py())
+        copies = np.flatnonzero(same)  # the whole context occurs earlier
+        yield rid[copies], start[copies], start[copies] + pc.binary_length(context).to_numpy()[copies]
+        firsts = np.flatnonzero(~same)
+        bounds = np.append(np.flatnonzero(~same_h[firsts]), len(firsts))  # where a new hash begins
+        row = lambda i: (doc_id[i].as_py(), int(rid[i]), int(start[i]), int(left[i]), context[i].as_py())
+        head = firsts[: bounds[0]]
+        self.group += [row(i) for i in head.tolist()]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if len(self.group) > 1:
+                self.settle(self.group)
+                self.group = []
+                if self.size >= POOL:
+                    yield self.sort_pool()
+            if b - a > 1 or b == len(firsts):
+                self.group = [row(i) for i in firsts[a:b].tolist()]
+            else:
+                self.group = []
+
+    def end(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if len(self.group) > 1:
+            self.settle(self.group)
+        if self.contexts:
+            yield self.sort_pool()
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
@@ -385,7 +427,10 @@ def meeting_anchors(docs: DataFrame) -> DataFrame:
 
     found = written(docs.select("rid", "text").mapInArrow(find, "rid long, pos long, h long, state int"), "anchors")
     met = found.where("state < 2").repartition("h").sortWithinPartitions("h").mapInArrow(meet, "rid long, pos long, h long")
-    return found.where("state > 0").select("rid", "pos", "h").unionByName(met)
+    both = written(found.where("state > 0").select("rid", "pos", "h").unionByName(met), "meeting")
+    dropped(found)
+    release(docs.sparkSession)
+    return both
 
 
 def beside_texts(docs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -396,35 +441,63 @@ def beside_texts(docs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFr
     return left.unionByName(right).repartition("rid").sortWithinPartitions("rid", "step", *columns)
 
 
+class Earliest:
+    """Holds back contexts of one task: of equal ones only the earliest goes on, the others are repeats and become marks."""
+
+    def __init__(self, most: int = 60_000):
+        self.most, self.kept, self.marks = most, {}, []
+
+    def add(self, h: int, doc_id: int | None, rid: int, start: int, left: int, context: bytes) -> None:
+        key, mine = (h, left, context), ((0, 0) if doc_id is None else (1, doc_id), rid, start)
+        held = self.kept.get(key)
+        if held is None:
+            self.kept[key] = mine
+        else:
+            first, later = (held, mine) if held < mine else (mine, held)
+            self.kept[key] = first
+            self.marks.append((later[1], later[2], later[2] + len(context)))
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.marks), 50_000):
+            rid, a, b = zip(*self.marks[at : at + 50_000], strict=True)
+            none = [None] * len(rid)
+            yield self.batch(none, none, rid, a, none, none, b)
+        rows = [(h, d if known else None, r, s, left, context, None) for (h, left, context), ((known, d), r, s) in self.kept.items()]
+        for at in range(0, len(rows), 20_000):
+            yield self.batch(*zip(*rows[at : at + 20_000], strict=True))
+        self.kept, self.marks = {}, []
+
+    @staticmethod
+    def batch(*cols) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split(" ")[0] for x in CONTEXTS.split(", ")])
+
+
+#: A context, or with `end` and without h a mark that is settled already.
+CONTEXTS = "h long, doc_id long, rid long, start long, left long, context binary, end long"
+
+
 def contexts(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """h, ord (doc_id with its null flag), rid, start, left, context of every meeting anchor."""
+    """The strings of every meeting anchor as one context: from its first string's start to its last one's end."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grow, text, rid, doc_id, z = zstandard.ZstdDecompressor(), b"", None, None, None
+        grow, text, rid, doc_id, z, out = zstandard.ZstdDecompressor(), b"", None, None, None, Earliest()
         for batch in batches:
             steps, rids, ids, zs = batch.column("step").to_numpy(), batch.column("rid").to_numpy(), batch.column("doc_id"), batch.column("z")
-            hs, ps = batch.column("h").to_pylist(), batch.column("pos").to_pylist()
-            out: list[tuple] = []
+            hs, places = batch.column("h").to_pylist(), batch.column("pos").to_pylist()
             for i in range(len(steps)):
                 if steps[i] == 0:
                     rid, doc_id, z, text = int(rids[i]), ids[i].as_py(), zs[i].as_py(), None
                     continue
                 if text is None:
                     text = grow.decompress(z)
-                p = ps[i]
-                start = max(0, p - SPAN + 1)
-                out.append((hs[i], doc_id, rid, start, p - start, text[start : p + LENGTH]))
-                if len(out) >= 20_000:
-                    yield batch_of(out)
-                    out = []
-            if out:
-                yield batch_of(out)
+                at, lo, hi = unpacked_place(places[i])
+                out.add(hs[i], doc_id, rid, lo, at - lo, text[lo : hi + LENGTH])
+            if len(out.kept) >= out.most:
+                yield from out.flush()
+        yield from out.flush()
 
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "doc_id", "rid", "start", "left", "context"])
-
-    return beside_texts(docs, met, ["pos", "h"]).mapInArrow(cut, "h long, doc_id long, rid long, start long, left long, context binary")
+    return beside_texts(docs, met, ["pos", "h"]).mapInArrow(cut, CONTEXTS)
 
 
 def marks(docs: DataFrame) -> DataFrame:
@@ -434,18 +507,21 @@ def marks(docs: DataFrame) -> DataFrame:
     around = contexts(rest, meeting_anchors(rest))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    r["ord"] = (0, 0) if r["doc_id"] is None else (1, r["doc_id"])
-                    yield r
-
-        for out in marks_of(rows()):
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rid", "start", "end"])
-
-    found = around.repartition("h").sortWithinPartitions("h", "left", "context", F.asc_nulls_first("doc_id"), "rid", "start").mapInArrow(decide, "rid long, start long, end long")
-    return found.unionByName(whole.select("rid", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
+        decider = Decider()
+        batch_of = lambda rid, a, b: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rid, a, b)], names=["rid", "start", "end"])
+        for batch in batches:
+            settled = pc.is_null(batch.column("h"))
+            done = batch.filter(settled)
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column(c) for c in ("rid", "start", "end")], names=["rid", "start", "end"])
+            if done.num_rows < batch.num_rows:
+                for spans in decider.add(batch.filter(pc.invert(settled))):
+                    yield batch_of(*spans)
+        for spans in decider.end():
+            yield batch_of(*spans)
+
+    dealt = around.repartition(F.coalesce("h", "rid")).sortWithinPartitions("h", "left", "context", F.asc_nulls_first("doc_id"), "rid", "start")
+    return dealt.mapInArrow(decide, "rid long, start long, end long").unionByName(whole.select("rid", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
