@@ -28,6 +28,8 @@ SCHEMA = "query_id long, vec_id long, score double"
 TABLES, PROBES = 10, 8
 #: Queries of a block, and vectors compared at once.
 BLOCK, STEP = 4096, 1024
+#: How much a product of matrices may fall short of the cosine that decides.
+SLACK = 1e-9
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -107,7 +109,13 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-    return x / np.abs(x).max(1, keepdims=True, initial=1e-300)  # so that squares neither overflow nor vanish
+    largest = np.abs(x).max(1, keepdims=True, initial=1e-300)
+    return np.where((largest > 1e-100) & (largest < 1e100), x, x / largest)  # squares must neither overflow nor vanish
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows; the same two vectors give the same number wherever they stand."""
+    return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
 def one_pass(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, tables: int, probes: int) -> DataFrame:
@@ -143,12 +151,12 @@ def one_pass(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, t
                         who = lists[codes[rows[0]]]
                         if len(who):
                             s = (queries[who] @ x[rows].T) / (norms[who][:, None] * lengths[rows][None, :])
-                            good = (s >= best.least[who][:, None]) & (ids[who][:, None] != own[rows][None, :])
+                            good = (s >= best.least[who][:, None] - SLACK) & (ids[who][:, None] != own[rows][None, :])
                             i, j = np.nonzero(good)
                             new = ~seen[who[i], rows[j]]
                             i, j = i[new], j[new]
                             seen[who[i], rows[j]] = True
-                            found.append((who[i], own[rows[j]], s[i, j]))
+                            found.append((who[i], own[rows[j]], cosines(queries[who[i]], x[rows[j]])))
                 if found:
                     best.add(*(np.concatenate(c) for c in zip(*found, strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.v), pa.array(best.s)], names=["query_id", "vec_id", "score"])

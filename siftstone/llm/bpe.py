@@ -15,13 +15,14 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-import unicodedata
+import re
+import sys
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from siftstone.llm.common import ship, texts
 from siftstone.llm.packing import byte_letters
@@ -34,6 +35,23 @@ SPACE = r"[\t-\r \x85\xa0  -     　]+"
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 
 
+@lru_cache(4)
+def ranges(category: str) -> str:
+    """All characters of a category as the inside of a character class, in the Unicode version of the tokenizers library."""
+    every = "".join(map(chr, (c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)))
+    runs = pre_tokenizers.Split(Regex(rf"\p{{{category}}}+"), "removed", invert=True).pre_tokenize_str(every)
+    out = []
+    for run, _ in runs:
+        at = 0
+        while at < len(run):  # a run may pass over the surrogates
+            end = at
+            while end + 1 < len(run) and ord(run[end + 1]) == ord(run[end]) + 1:
+                end += 1
+            out.append(f"\\U{ord(run[at]):08x}-\\U{ord(run[end]):08x}")
+            at = end + 1
+    return "".join(out)
+
+
 class Merges:
     """A merge list over symbols; gives the last tokens of prefixes and tells which pairs of tokens stand."""
 
@@ -141,10 +159,12 @@ class WordBpe:
         self.merges = Merges(self.vocab, merges, model["end_of_word_suffix"] or "")
         self.token = {i: t for t, i in (self.vocab | self.added).items()}
         self.letters = byte_letters()
-        self.pattern = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"].replace(r"\s", SPACE[1:-2]))
-        self.gap = regex.compile(SPACE)
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        self.pattern = re.compile(split.replace(r"\s", SPACE[1:-2]).replace(r"\p{L}", ranges("L")).replace(r"\p{N}", ranges("N")))
+        self.gap = re.compile(SPACE)
+        self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.bytes_of = {c: b for b, c in self.letters.items()}
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.cache: dict[str, tuple[int, str, str]] = {}
         self.words: dict[str, tuple[str, ...]] = {}
 
@@ -162,7 +182,7 @@ class WordBpe:
 
     def chunk_tokens(self, chunk: str) -> Iterator[str]:
         """Tokens of a text without white space or added tokens."""
-        chunk = chunk.lower() if chunk.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
+        chunk = chunk.lower() if chunk.isascii() else self.normal.normalize_str(chunk)
         for m in self.pattern.finditer(chunk):
             yield from self.word(m[0])
 

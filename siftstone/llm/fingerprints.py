@@ -18,13 +18,15 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.llm.common import ship, texts, with_rid, written
 
 #: Buckets with differing raw texts up to which their members are sent to the readers; beyond it they are joined.
 SEND_MEMBERS = 200_000
+#: Hexadecimal digits of a hash; fewer make buckets of different texts, for tests.
+DIGITS = 32
 NEIGHBOURS = "rid long, doc_id long, n_chars long, hash string, sha string, edited_hash string, edited_sha string, next_hash string, next_sha string, part int, place string, first_sha string, z binary"
 NAMES = [x.split(" ")[0] for x in NEIGHBOURS.split(", ")]
 TYPES = [pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int32(), pa.string(), pa.string(), pa.binary()]
@@ -36,9 +38,9 @@ def canonical(text: str) -> bytes:
     return " ".join(folded.split()).encode("utf-8", "surrogatepass")
 
 
-def hashed(text: str) -> tuple[str, str]:
-    """xxh3 of the canonical bytes, SHA-256 of the raw ones."""
-    return xxhash.xxh3_128_hexdigest(canonical(text)), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+def hashed(text: str, digits: int = DIGITS) -> tuple[str, str]:
+    """xxh3 of the canonical bytes, cut to some hexadecimal digits, and SHA-256 of the raw bytes."""
+    return xxhash.xxh3_128_hexdigest(canonical(text))[:digits], hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def edited(text: str, following: str) -> str:
@@ -61,22 +63,22 @@ def in_order(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "rid long, doc_id long, sha binary, z binary").repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def paired(rows: Iterator[tuple[int, int | None, str]]) -> Iterator[tuple]:
+def paired(rows: Iterator[tuple[int, int | None, str]], digits: int) -> Iterator[tuple]:
     """Of each row but the last, what it gives together with its follower; (rid, doc_id, text) in."""
     held = None
     for rid, doc_id, text in rows:
-        own = hashed(text)
+        own = hashed(text, digits)
         if held:
-            yield with_next(*held, text, own)
+            yield with_next(*held, text, own, digits)
         held = (rid, doc_id, text, own)
 
 
-def with_next(rid: int, doc_id: int | None, text: str, own: tuple[str, str], following: str, theirs: tuple[str, str]) -> tuple:
-    changed = hashed(edited(text, following))
+def with_next(rid: int, doc_id: int | None, text: str, own: tuple[str, str], following: str, theirs: tuple[str, str], digits: int) -> tuple:
+    changed = hashed(edited(text, following), digits)
     return rid, doc_id, len(text), *own, *changed, *theirs
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
+def neighbours(docs: DataFrame, digits: int) -> DataFrame:
     """Hashes of each text, its edited text and the next document's, by one range shuffle.
 
     A partition's first and last texts go to one more task, which joins the partitions' ends; it gets two rows a
@@ -99,7 +101,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
         first: list = []
         out = []
-        for row in paired(rows()):
+        for row in paired(rows(), digits):
             out.append((*row, part, None, None, None))
             if len(out) >= 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], names=NAMES)
@@ -119,24 +121,24 @@ def neighbours(docs: DataFrame) -> DataFrame:
                 if r["place"] == "first":
                     begin = text if begin is None else begin
                     if open_:
-                        yield closing(open_, text, TYPES, NAMES)
+                        yield closing(open_, text, digits)
                 else:
                     open_ = (r["rid"], r["doc_id"], text)
         if open_:
-            yield closing(open_, begin, TYPES, NAMES)
+            yield closing(open_, begin, digits)
 
     most = written(in_order(docs).mapInArrow(run, NEIGHBOURS), "neighbours")
     ends = most.where(F.col("place").isNotNull()).coalesce(1).sortWithinPartitions("part", "place").mapInArrow(close, NEIGHBOURS)
     return most.where(F.col("place").isNull()).unionByName(ends).drop("part", "place", "first_sha", "z")
 
 
-def closing(row: tuple, following: str, types: list, names: list) -> pa.RecordBatch:
+def closing(row: tuple, following: str, digits: int) -> pa.RecordBatch:
     rid, doc_id, text = row
-    out = (*with_next(rid, doc_id, text, hashed(text), following, hashed(following)), None, None, None, None)
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, types, strict=True)], names=names)
+    out = (*with_next(rid, doc_id, text, hashed(text, digits), following, hashed(following, digits), digits), None, None, None, None)
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, TYPES, strict=True)], names=NAMES)
 
 
-def variants(docs: DataFrame, table: DataFrame) -> DataFrame | None:
+def variants(docs: DataFrame, table: DataFrame, digits: int) -> DataFrame | None:
     """hash, sha, variant for texts that share a hash and whose canonical bytes differ from the first ones; None if there are none.
 
     Looked at are the buckets that hold different raw texts; of each such text one row is read again.
@@ -155,25 +157,23 @@ def variants(docs: DataFrame, table: DataFrame) -> DataFrame | None:
         for batch in batches:
             column = batch.column("text")
             raw = [column[i].as_py() for i in range(len(column))]
-            yield pa.RecordBatch.from_arrays([pa.array([hashed(t)[0] for t in raw], pa.string()), pa.array([hashed(t)[1] for t in raw], pa.string()), pa.array([canonical(t) for t in raw], pa.binary())], names=["hash", "sha", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([hashed(t, digits)[0] for t in raw], pa.string()), pa.array([hashed(t, digits)[1] for t in raw], pa.string()), pa.array([canonical(t) for t in raw], pa.binary())], names=["hash", "sha", "bytes"])
 
     seen = parts.mapInArrow(run, "hash string, sha string, bytes binary")
     if not wanted.where("of_edited").isEmpty():
         keep = {r["rid"] for r in wanted.where("of_edited").select("rid").limit(SEND_MEMBERS).collect()}
         if len(keep) < SEND_MEMBERS:
-            seen = seen.unionByName(edited_members(docs, keep))
+            seen = seen.unionByName(edited_members(docs, keep, digits))
         else:
-            seen = seen.unionByName(edited_members(docs, None))
+            seen = seen.unionByName(edited_members(docs, None, digits))
     compared = seen.dropDuplicates(["hash", "sha"]).groupBy("hash", "bytes").agg(F.collect_set("sha").alias("shas"))
     many = compared.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("hash").orderBy("bytes")) - 1
     found = written(compared.join(many, "hash", "left_semi").select("hash", "shas", rank.alias("variant")).where("variant > 0").select("hash", F.explode("shas").alias("sha"), "variant"), "variants")
     return None if found.isEmpty() else found
 
 
-def edited_members(docs: DataFrame, keep: set[int] | None) -> DataFrame:
+def edited_members(docs: DataFrame, keep: set[int] | None, digits: int) -> DataFrame:
     """hash, sha, canonical bytes of edited texts, of the rows in keep or of all; the pairs at partitions' ends are among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def edited_members(docs: DataFrame, keep: set[int] | None) -> DataFrame:
             yield end(part, "last", *held)
 
     def member(text: str) -> pa.RecordBatch:
-        h, s = hashed(text)
+        h, s = hashed(text, digits)
         return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([h]), pa.array([s]), pa.array([canonical(text)], pa.binary())], names=["part", "place", "rid", "hash", "sha", "bytes"])
 
     def end(part: int, place: str, rid: int, text: str) -> pa.RecordBatch:
@@ -218,7 +218,7 @@ def edited_members(docs: DataFrame, keep: set[int] | None) -> DataFrame:
     return rows.where(F.col("place").isNull()).unionByName(ends).select("hash", "sha", "bytes")
 
 
-def fingerprint(docs: DataFrame) -> DataFrame:
+def fingerprint(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Fingerprints of every whole text and of its edited text; a row for each row of docs.
 
     docs has doc_id and text; other columns are ignored. The edited text takes its second half from the next
@@ -228,8 +228,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     docs = with_rid(texts(docs))
-    table = neighbours(docs)
-    differing = variants(docs, table)
+    table = neighbours(docs, digits)
+    differing = variants(docs, table, digits)
     if differing is None:
         print_of = {k: F.col(f"{k}hash") for k in ("", "edited_", "next_")}
     else:

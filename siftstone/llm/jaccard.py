@@ -196,11 +196,15 @@ def blocked(rows: DataFrame, key: str, member: str, size: str, block: int) -> Da
 
 
 def halves(run: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a pair of blocks that are compared with each other; those of one block all with all."""
+    """Rows of a pair of blocks that are compared with each other; those of one block all with all.
+
+    Sorts the rows by block first: pairs are looked at with the smaller index left.
+    """
     if run[0]["i"] == run[0]["j"]:
         return np.arange(len(run)), np.arange(len(run))
-    own = np.array([r["own"] for r in run])
-    return np.flatnonzero(own == run[0]["i"]), np.flatnonzero(own == run[0]["j"])
+    run.sort(key=lambda r: r["own"])
+    cut = sum(r["own"] == run[0]["i"] for r in run)
+    return np.arange(cut), np.arange(cut, len(run))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -242,9 +246,10 @@ def candidate_links(classes: DataFrame) -> DataFrame:
         for run in grouped(batches, keys):
             if len(run) < 2:
                 continue
+            left, right = halves(run)
             signatures = np.frombuffer(b"".join(r["signature"] for r in run), np.uint16).reshape(len(run), -1)
             forest = Forest(len(run))
-            for i, j in likely(signatures, *halves(run), least):
+            for i, j in likely(signatures, left, right, least):
                 joined(forest, i, j)
             for x, y in forest.links():
                 a.append(run[x]["cid"])
@@ -278,7 +283,8 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFram
         out: list[tuple] = []
         for run in grouped(batches, keys):
             if len(run) > 1:
-                i, j = similar([np.frombuffer(r["shingles"], np.uint64) for r in run], *halves(run))
+                left, right = halves(run)
+                i, j = similar([np.frombuffer(r["shingles"], np.uint64) for r in run], left, right)
                 copies, n = np.array([r["copies"] for r in run]), len(run)
                 links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
                 forest = Forest(n)

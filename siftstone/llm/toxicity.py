@@ -51,7 +51,7 @@ def windows(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(ws)), np.diff(ends, prepend=0))
     place = np.arange(len(flat)) - (ends - np.diff(ends, prepend=0))[owner]
     key = np.zeros(len(flat), np.uint64)
-    for back in range(ORDER):
+    for back in range(min(ORDER, len(flat))):
         moved = np.zeros(len(flat), np.uint64)
         moved[back:] = flat[: len(flat) - back]
         moved[place < back] = 0
