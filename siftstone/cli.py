@@ -135,8 +135,8 @@ def parser() -> argparse.ArgumentParser:
     shared.add_argument("--json", action="store_true", dest="json_output", default=argparse.SUPPRESS, help="print JSON")
     commands = top.add_subparsers(dest="command", required=True)
 
-    def command(name: str, about: str, *positional: str, **options) -> argparse.ArgumentParser:
-        p = commands.add_parser(name, parents=[shared], help=about)
+    def command(title: str, about: str, /, *positional: str, **options) -> argparse.ArgumentParser:
+        p = commands.add_parser(title, parents=[shared], help=about)
         for x in positional:
             p.add_argument(x)
         for x, default in options.items():

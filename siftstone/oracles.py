@@ -57,12 +57,12 @@ VECTORS = f"(SELECT c.*, e.embedding FROM {DOC_CHUNKS} c LEFT JOIN embeddings e
 def path_score(query: str, tokens: list[str], path: str = "path") -> str:
     weak = " OR ".join(f"contains(lower({path}), '{t}')" for t in tokens)
     q = query.lower().strip()
-    return f"CASE WHEN contains(lower({path}), '{q}') OR contains('{q}', lower({path})) THEN 4.5 WHEN {weak} THEN 1.5 ELSE 0.0 END"
+    return f"CASE WHEN contains(lower({path}), '{q}') OR contains('{q}', lower({path})) THEN CAST(4.5 AS DOUBLE) WHEN {weak} THEN 1.5 ELSE 0.0 END"
 
 
 _path = path_score(WORDS, query_tokens(WORDS))
 FUSED = f"""(WITH sig AS (
-    SELECT chunk_id, 0 AS signal, greatest(0.2, 4.0 - 0.03 * rank) AS score, CAST(NULL AS DOUBLE) AS similarity FROM {RANKED} r
+    SELECT chunk_id, 0 AS signal, greatest(0.2, CAST(4.0 AS DOUBLE) - 0.03 * rank) AS score, CAST(NULL AS DOUBLE) AS similarity FROM {RANKED} r
     UNION ALL SELECT chunk_id, 1, 3.0 * s, s FROM (SELECT chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {Q}) AS s FROM {VECTORS} v WHERE embedding IS NOT NULL) WHERE s > 0
     UNION ALL SELECT chunk_id, 2, {_path}, NULL FROM {DOC_CHUNKS} c WHERE {_path} > 0)
   SELECT f.*, c.repo, c.path, c.start_line FROM (SELECT chunk_id, round(sum(score), 4) AS score, max(similarity) AS similarity,
@@ -96,13 +96,13 @@ ORACLES = {
     "fts_tokens": f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_concat({TOKENS.format('path')}, {TOKENS.format('content')})) AS term FROM {FILES} f) GROUP BY 1",
     "phrase_match": " UNION ALL ".join(f"SELECT doc_id, CAST({n} AS INT) AS phrase, {occurrences('t', ph)} AS f FROM (SELECT doc_id, {TOKENS.format('content')} AS t FROM {FILES} f) WHERE {occurrences('t', ph)} > 0" for n, ph in enumerate([["of", "the"], ["mit", "license"], ["the"]])),
     "bm25_topk": f"SELECT chunk_id, bm25 FROM {BM25} b ORDER BY bm25, repo, path, start_line, chunk_id LIMIT 100",
-    "lexical_search": f"SELECT repo, path, CAST(start_line AS INT) AS start_line, round(greatest(0.2, 4.0 - 0.03 * rank), 4) AS score, CAST(rank AS INT) AS rank FROM {RANKED} r WHERE rank < 10",
+    "lexical_search": f"SELECT repo, path, CAST(start_line AS INT) AS start_line, round(greatest(0.2, CAST(4.0 AS DOUBLE) - 0.03 * rank), 4) AS score, CAST(rank AS INT) AS rank FROM {RANKED} r WHERE rank < 10",
     "vector_cosine_scan": f"SELECT vec_id, round(s, 4) AS similarity, round(3.0 * s, 3) AS score FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {Q}) AS s FROM embeddings) WHERE s > 0",
     "vector_knn_l2": f"SELECT vec_id, round(d, 4) AS distance, round(list_cosine_similarity(e, {Q}), 4) AS similarity FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, list_distance(CAST(embedding AS DOUBLE[]), {Q}) AS d FROM embeddings) ORDER BY d, vec_id LIMIT 200",
     "path_symbol_score": f"SELECT repo, path, CAST({_part} AS DOUBLE) AS path_score, CAST(CASE WHEN {_symbol} THEN 2.0 ELSE 0.0 END AS DOUBLE) AS symbol_score FROM (SELECT repo, path, lower(string_agg(DISTINCT symbol, ' ' ORDER BY symbol)) AS st FROM {SYMBOLS} s GROUP BY 1, 2)",
-    "hybrid_search": f"SELECT chunk_id, repo, path, CAST(start_line AS INT) AS start_line, round(score, 3) AS score, reasons AS score_reason, round(similarity, 4) AS vector_similarity FROM {FUSED} f ORDER BY f.score DESC, repo, path, f.start_line, chunk_id LIMIT 20",
+    "hybrid_search": f"SELECT chunk_id, repo, path, CAST(start_line AS INT) AS start_line, score, reasons AS score_reason, round(similarity, 4) AS vector_similarity FROM {FUSED} f ORDER BY f.score DESC, repo, path, f.start_line, chunk_id LIMIT 20",
     "low_confidence_flags": f"SELECT reasons = 'vector' AND (similarity IS NULL OR similarity < 0.3) AS low_confidence, reasons AS score_reason, count(*) AS n FROM (SELECT reasons, round(similarity, 4) AS similarity FROM {FUSED} f) GROUP BY 1, 2",
-    "search_with_filters": f"SELECT chunk_id, path, CAST(start_line AS INT) AS start_line, round(score, 3) AS score FROM {FUSED} f WHERE path GLOB '*/fr/*' AND lower({LANGUAGE}) = 'fr' ORDER BY f.score DESC, repo, path, f.start_line, chunk_id LIMIT 10",
+    "search_with_filters": f"SELECT chunk_id, path, CAST(start_line AS INT) AS start_line, score FROM {FUSED} f WHERE path GLOB '*/fr/*' AND lower({LANGUAGE}) = 'fr' ORDER BY f.score DESC, repo, path, f.start_line, chunk_id LIMIT 10",
     "snapshot_diff": f"""SELECT coalesce(p.repo, s.repo) AS repo, coalesce(p.path, s.path) AS path, CASE WHEN p.path IS NULL THEN 'deleted' WHEN NOT p.readable THEN 'skipped' WHEN s.path IS NULL THEN 'new'
       WHEN p.h = s.h AND (coalesce(c.n, 0) > 0 OR p.size = 0) THEN 'unchanged' ELSE 'changed' END AS action
       FROM {PRESENT} p FULL JOIN {STORED} s ON p.repo = s.repo AND p.path = s.path LEFT JOIN (SELECT repo, path, count(*) AS n FROM {DOC_CHUNKS} c GROUP BY 1, 2) c ON c.repo = s.repo AND c.path = s.path""",

@@ -210,7 +210,7 @@ def _signals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fusion.fused(_signals(spark, sf_dir)).withColumn("score", F.round("score", 4)).join(doc_chunks(spark, sf_dir).select(*REPO_TIES), "chunk_id")
     best = rows.orderBy(F.desc("score"), *REPO_TIES).limit(20)
-    return best.select("chunk_id", "repo", "path", "start_line", F.round("score", 3).alias("score"), F.array_join("reasons", "+").alias("score_reason"), F.round("similarity", 4).alias("vector_similarity"))
+    return best.select("chunk_id", "repo", "path", "start_line", "score", F.array_join("reasons", "+").alias("score_reason"), F.round("similarity", 4).alias("vector_similarity"))
 
 
 def low_confidence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +222,7 @@ def search_with_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters on path and language after fusion, before the limit."""
     rows = fusion.fused(_signals(spark, sf_dir)).withColumn("score", F.round("score", 4)).join(doc_chunks(spark, sf_dir).select(*REPO_TIES), "chunk_id")
     kept = rows.where(text.matches_glob(F.col("path"), "*/fr/*")).where(F.lower(text.path_language(F.col("path"))) == "fr")
-    return kept.orderBy(F.desc("score"), *REPO_TIES).limit(10).select("chunk_id", "path", "start_line", F.round("score", 3).alias("score"))
+    return kept.orderBy(F.desc("score"), *REPO_TIES).limit(10).select("chunk_id", "path", "start_line", "score")
 
 
 # --- ingestion and the rest ------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siftstone.runtime import ship
-from siftstone.sources.ignore import Rules, directories, looks_binary, rules_of, skipped_by_name
+from siftstone.sources.ignore import Rules, directories, looks_binary, rule_lines, skipped_by_name
 
 SCHEMA = "path string, abs_path string, size bigint, mtime double, content binary"
 #: Directories of a partition, about; a directory's files are read by one task.
@@ -42,7 +43,7 @@ class TreeReader(DataSourceReader):
 
     def __init__(self, options: dict):
         self.root, self.most, self.folders = options["path"], int(options.get("maxfilebytes", 1_000_000)), int(options.get("directories", DIRECTORIES))
-        self.rules = rules_of(Path(self.root))
+        self.rules = Rules.of(json.loads(options.get("rules", "[]")))
 
     def partitions(self) -> list[InputPartition]:
         found = [os.path.relpath(d, self.root) for d in directories(Path(self.root))]
@@ -75,10 +76,14 @@ class TreeSource(DataSource):
 
 
 def scan_tree(spark: SparkSession, root: str, max_file_bytes: int = 1_000_000) -> DataFrame:
-    """path, abs_path, size, mtime, content (bytes; null if unreadable) of the indexable files below a directory that all executors see."""
+    """path, abs_path, size, mtime, content (bytes; null if unreadable) of the indexable files below a directory that all executors see.
+
+    Ignore rules are gathered here, where the user's own excludes are known, and go along as an option.
+    """
     ship(spark)
     spark.dataSource.register(TreeSource)
-    return spark.read.format("filetree").option("maxFileBytes", max_file_bytes).load(str(Path(root).resolve()))
+    at = Path(root).resolve()
+    return spark.read.format("filetree").option("maxFileBytes", max_file_bytes).option("rules", json.dumps(rule_lines(at))).load(str(at))
 
 
 def decoded(files: DataFrame, repo: str) -> DataFrame:

@@ -213,12 +213,16 @@ def directories(root: Path) -> Iterator[Path]:
         yield Path(at)
 
 
-def rules_of(root: Path) -> Rules:
-    """All rules of a tree in order of precedence."""
+def rule_lines(root: Path) -> list[str]:
+    """All rules of a tree, as of its root, in order of precedence."""
     lines = []
     for directory in directories(root):
-        prefix = directory.relative_to(root).as_posix().removeprefix(".") if directory == root else directory.relative_to(root).as_posix()
+        prefix = "" if directory == root else directory.relative_to(root).as_posix()
         for source in rule_files(directory):
             if source.is_file():
                 lines += [r for line in _text(source).splitlines() if (r := rooted(prefix, line)) is not None]
-    return Rules.of(lines)
+    return lines
+
+
+def rules_of(root: Path) -> Rules:
+    return Rules.of(rule_lines(root))

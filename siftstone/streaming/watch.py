@@ -46,8 +46,10 @@ def merge(stored: DataFrame, changes: DataFrame, key: list[str], order: list[str
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """Events and their value by window and type; with a watermark on a stream. Batch and stream give the same rows."""
-    rows = events.withWatermark("ts", late) if late and events.isStreaming else events
-    return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if late and events.isStreaming else rows
+    counted = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return counted.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def first_rows(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
