@@ -20,13 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes that a Python worker gets at a time, at most (a single longer row still comes whole).
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when the cluster hasn't got it from --py-files."""
+    """Make Python workers fit: they import this package even if it didn't come with --py-files, and use bounded memory.
+
+    Texts may be long, so batches are bounded by bytes too; freed memory goes back to the system, as workers live on.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    for name, value in (("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "1000000"), ("MALLOC_MMAP_THRESHOLD_", "1000000"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        env.setdefault(name, value)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(str(spark.conf.get(name)).removesuffix("b")) <= most:
+            spark.conf.set(name, most)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -30,6 +30,8 @@ BANDS, ROWS = 32, 5
 STEP, TOLERANCE = 32, 1e-6
 #: Members of a bucket, and of a group, that meet in a task at most; more are split into pairs of blocks.
 BUCKET_BLOCK, GROUP_BLOCK = 2048, 256
+#: Words whose hashes a worker keeps.
+WORDS_KEPT = 200_000
 #: Columns of a 0/1 matrix at a time.
 COLUMNS = 8192
 _r = np.random.default_rng(5)
@@ -49,7 +51,7 @@ class Shingles:
         ws = text.lower().split()
         if not ws:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 500_000:
+        if len(self.known) > WORDS_KEPT:
             self.known = {}
         known, hashes = self.known, []
         for w in ws:

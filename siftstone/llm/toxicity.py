@@ -31,7 +31,8 @@ DISCOUNT = 0.75
 #: Of the sample, one document in so many is kept from the models and fits the logistic function.
 FIT_ONE_IN = 3
 THRESHOLD = 0.3
-CACHE = 400_000
+#: Words whose evidence a worker keeps.
+CACHE = 120_000
 
 #: Bytes that are in no word become spaces: ASCII but for digits and letters.
 WORD_BYTES = bytes(c if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
