@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows and bytes that a Python worker gets at a time, at most (a single longer row still comes whole).
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -66,20 +66,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Paths of the tables that written() has made and nothing has deleted, in order.
+TABLES: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it again."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        TABLES.remove(path)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by written() that no later read needs."""
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/siftstone-" in folder:
-            at = jvm.org.apache.hadoop.fs.Path(folder)
-            at.getFileSystem(conf).delete(at, True)
+    folders = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+    _delete(df.sparkSession, [p for p in TABLES if p.rsplit("/", 1)[-1] in folders])
+
+
+def only(df: DataFrame, since: int) -> DataFrame:
+    """Write a result and delete the tables that were written after the first `since` ones, as it needs them no more."""
+    out = written(df, "result")
+    _delete(df.sparkSession, TABLES[since:-1])
+    release(df.sparkSession)
+    return out
 
 
 def release(spark: SparkSession) -> None:

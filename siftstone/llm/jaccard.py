@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import join_counted, picked, ship, texts, with_rid, written
+from siftstone.llm.common import TABLES, join_counted, only, picked, ship, texts, with_rid, written
 from siftstone.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -337,5 +337,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     whole = with_rid(docs, "__rid")
     brief = whole.select(F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gone = written(classes_of(brief).where("rid != keeper").select("rid"), "gone")
+    since = len(TABLES)
+    gone = only(classes_of(brief).where("rid != keeper").select("rid"), since)
     return picked(whole, gone, "left_anti", "__rid").drop("__rid")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import dropped, is_scan, join_counted, picked, release, ship, texts, with_rid, written
+from siftstone.llm.common import TABLES, dropped, join_counted, only, picked, release, ship, texts, with_rid, written
 
 #: Bytes of a string that may occur once only, and of a gram.
 LENGTH, GRAM = 100, 32
@@ -366,15 +366,14 @@ class Decider:
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, SHA-256, length and compressed bytes of the texts."""
+    """docs with compressed UTF-8 bytes, z, in place of text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("binary")
+    def compressed(column: pa.Array) -> pa.Array:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            column = batch.column("text")
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array([squeeze.compress(column[i].as_py().encode("utf-8", "surrogatepass")) for i in range(len(column))], pa.binary())], names=["rid", "doc_id", "z"])
+        return pa.array([squeeze.compress(column[i].as_py().encode("utf-8", "surrogatepass")) for i in range(len(column))], pa.binary())
 
-    return docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, z binary")
+    return docs.select(*[c for c in docs.columns if c != "text"], compressed("text").alias("z"))
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -434,10 +433,14 @@ def meeting_anchors(docs: DataFrame) -> DataFrame:
 
 
 def beside_texts(docs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows (rid and columns, all long) sorted behind their text: one shuffle of the compressed texts, and no join."""
+    """Rows (rid and columns, all long) sorted behind their text: one shuffle of the compressed texts, and no join.
+
+    A column `rest` of docs, if there is one, goes along with the text.
+    """
+    rest = [F.lit(None).cast(docs.schema["rest"].dataType).alias("rest")] if "rest" in docs.columns else []
     nothing = [F.lit(None).cast("long").alias(c) for c in columns]
-    left = squeezed(docs).select("rid", F.lit(0).alias("step"), "doc_id", "z", *nothing)
-    right = rows.select("rid", F.lit(1).alias("step"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("z"), *columns)
+    left = squeezed(docs).select("rid", F.lit(0).alias("step"), "doc_id", "z", *["rest"] * len(rest), *nothing)
+    right = rows.select("rid", F.lit(1).alias("step"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("z"), *rest, *columns)
     return left.unionByName(right).repartition("rid").sortWithinPartitions("rid", "step", *columns)
 
 
@@ -502,6 +505,7 @@ def contexts(docs: DataFrame, met: DataFrame) -> DataFrame:
 
 def marks(docs: DataFrame) -> DataFrame:
     """rid, start, end of all bytes to be removed; spans may overlap."""
+    docs = docs.drop("rest")
     whole = written(copies(docs), "copies")
     rest = picked(docs, whole, "left_anti")
     around = contexts(rest, meeting_anchors(rest))
@@ -525,42 +529,51 @@ def marks(docs: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n_bytes, n_removed, n_spans, kept (bytes) of docs with rid, doc_id, text."""
+    """rid, doc_id, n_bytes, n_removed, n_spans, kept (bytes), and rest if docs has it, of docs with rid, doc_id, text."""
+    since = len(TABLES)
+    gone = only(marks(docs), since)
+    with_rest = "rest" in docs.columns
+    names = ["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grow, held, spans = zstandard.ZstdDecompressor(), None, []
+        grow, held, spans, out, size = zstandard.ZstdDecompressor(), None, [], [], 0
 
         def done() -> tuple:
-            rid, doc_id, z = held
+            rid, doc_id, z, rest = held
             text, runs, kept, at = grow.decompress(z), merged(spans), [], 0
             for a, b in runs:
                 kept.append(text[at:a])
                 at = b
             kept.append(text[at:])
-            return rid, doc_id, len(text), sum(b - a for a, b in runs), len(runs), b"".join(kept)
+            return (rid, doc_id, len(text), sum(b - a for a, b in runs), len(runs), b"".join(kept)), rest
 
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        def batch_of() -> pa.RecordBatch:
+            arrays = [pa.array(c, k) for c, k in zip(zip(*(row for row, _ in out), strict=True), kinds, strict=True)]
+            rest = [pa.concat_arrays([r for _, r in out])] if with_rest else []
+            return pa.RecordBatch.from_arrays([*arrays, *rest], names=[*names, *["rest"] * with_rest])
 
-        out: list[tuple] = []
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["step"] == 0:
-                    if held:
-                        out.append(done())
-                    held, spans = (r["rid"], r["doc_id"], r["z"]), []
-                    if len(out) >= 500:
-                        yield batch_of(out)
-                        out = []
-                else:
-                    spans.append((r["start"], r["end"]))
+            steps, rids, ids, zs, starts, ends = (batch.column(c) for c in ("step", "rid", "doc_id", "z", "start", "end"))
+            starts, ends = starts.to_pylist(), ends.to_pylist()
+            for i, step in enumerate(steps.to_pylist()):
+                if step:
+                    spans.append((starts[i], ends[i]))
+                    continue
+                if held:
+                    out.append(done())
+                    size += out[-1][0][2]
+                    if size > 4 << 20:
+                        yield batch_of()
+                        out, size = [], 0
+                held, spans = (rids[i].as_py(), ids[i].as_py(), zs[i].as_py(), batch.column("rest").slice(i, 1) if with_rest else None), []
         if held:
             out.append(done())
         if out:
-            yield batch_of(out)
+            yield batch_of()
 
-    return beside_texts(docs, marks(docs), ["start", "end"]).mapInArrow(remove, "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    rest = f", rest {docs.schema['rest'].dataType.simpleString()}" if with_rest else ""
+    return beside_texts(docs, gone, ["start", "end"]).mapInArrow(remove, f"rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary{rest}")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -578,20 +591,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes gone from text; characters that lose some of their bytes go whole. All rows and columns stay.
 
-    A null text stays null; n_chars, if there is such a column, follows the text.
+    A null text stays null; n_chars, if there is such a column, follows a text that changes. The other columns travel with the text.
     """
     ship(docs.sparkSession)
-    if not is_scan(docs):
-        docs = written(docs, "rows")
-    whole = with_rid(docs, "__rid")
-    brief = whole.select(F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(kept, pa.string())], names=["__rid", "__kept"])
-
-    changed = cleaned(brief).where("n_removed > 0").select("rid", "kept").mapInArrow(decode, "__rid long, __kept string")
-    joined = whole.join(changed, "__rid", "left")
-    new = {"text": F.coalesce("__kept", "text"), "n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars") if "n_chars" in docs.columns else None).otherwise(F.length("__kept"))}
-    return joined.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(others)], F.col("text").isNull().alias("was_null")).alias("rest")
+    brief = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), rest)
+
+    @F.arrow_udf("string")
+    def decoded(column: pa.Array) -> pa.Array:
+        return pa.array([b.decode("utf-8", "ignore") for b in column.to_pylist()], pa.string())
+
+    changed = F.col("n_removed") > 0
+    out = cleaned(with_rid(brief)).withColumn("new", F.when(~F.col("rest.was_null"), decoded("kept")))
+    place = {c: F.col(f"rest.c{k}") for k, c in enumerate(others)} | {"text": F.col("new").cast(docs.schema["text"].dataType)}
+    if "n_chars" in place:
+        place["n_chars"] = F.when(changed, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(place["n_chars"])
+    return out.select(*[place[c].alias(c) for c in docs.columns])

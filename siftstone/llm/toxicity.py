@@ -32,7 +32,7 @@ DISCOUNT = 0.75
 FIT_ONE_IN = 3
 THRESHOLD = 0.3
 #: Words whose evidence a worker keeps.
-CACHE = 120_000
+CACHE = 250_000
 
 #: Bytes that are in no word become spaces: ASCII but for digits and letters.
 WORD_BYTES = bytes(c if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
