@@ -251,7 +251,7 @@ class Engine:
         clean = PurePosixPath(path).as_posix()
         if clean == ".." or clean.startswith("../"):
             raise ValueError("path must be repo-relative")
-        found = self._dicts(catalogue.file_range(self.table("files", repo), clean, start_line, end_line))
+        found = self._dicts(catalogue.file_range(self.table("files", repo), clean, start_line, end_line)) if repo else []
         if not found:
             raise FileNotFoundError(f"{repo}:{clean} is not indexed")
         return found[0]

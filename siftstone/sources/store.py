@@ -96,6 +96,8 @@ class Store:
             return self.spark.createDataFrame([], TABLES[table]).withColumn("repo", F.lit("").cast("string"))
         schema = self.spark.createDataFrame([], f"{TABLES[table]}, repo_id int, version int" + (", bucket int" if table == "postings" else "")).schema
         rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/tables/{table}").parquet(*[self.folder(table, r) for r in live])
+        if table == "symbols":  # versions written before there were kinds have none
+            rows = rows.withColumn("kind", F.coalesce("kind", F.lit("")))
         names = self.spark.createDataFrame([(r.repo_id, r.name) for r in live], "repo_id int, repo string")
         if len(live) == 1:
             return rows.drop("repo_id", "version").withColumn("repo", F.lit(live[0].name))

@@ -216,3 +216,25 @@ def test_ranking_is_that_of_full_text_search(make, tmp_path):
         assert [round(4.0 - 0.03 * i, 4) for i in range(len(want))] == sorted((h["score"] for h in e.search(query, mode="lexical", limit=50)), reverse=True)
         best = [p for p, s in want if s == want[0][1]]
         assert got[0] in best
+
+
+def test_versions_without_kinds_can_be_read(make, repo):
+    e = make()
+    e.index_repo(repo)
+    (r,) = e.init().repos
+    old = e.store.read("symbols", (r,)).drop("kind", "repo").collect()
+    e.spark.createDataFrame(old, "path string, chunk_id string, symbol string, line int").write.mode("overwrite").parquet(e.store.folder("symbols", r))
+    assert [s["kind"] for s in e.symbols(query="login")] == [""] and e.list_kinds() == []
+    with pytest.raises(FileNotFoundError):
+        e.read_file("", "README.md")
+
+
+def test_settings(monkeypatch):
+    from siftstone import config
+
+    for raw, want in (("", 0.6), ("x", 0.6), (" 0.25 ", 0.25)):
+        monkeypatch.setenv("SIFTSTONE_LOW_CONFIDENCE_SIMILARITY", raw)
+        assert Options().doubtful == want
+    monkeypatch.setenv("SIFTSTONE_DISABLE_EMBEDDINGS", "Yes")
+    monkeypatch.setenv("SIFTSTONE_DB_PATH", "/x/y")
+    assert config.embeddings_disabled() and config.store_path() == "/x/y"
