@@ -16,8 +16,9 @@ one, so no common passage gathers more rows than there are batches.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ LENGTH, GRAM = 100, 32
 #: Grams of a string.
 SPAN = LENGTH - GRAM + 1
 #: Bytes of texts whose grams are hashed at once, and of contexts whose suffixes are sorted at once.
-CHUNK, POOL = 1 << 20, 1 << 20
+CHUNK, POOL = 1 << 18, 1 << 19
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _r = np.random.default_rng(3)
 BYTE_HASH = _r.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -295,42 +296,80 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def worth_sorting(contexts: list[bytes], lefts: list[int]) -> list[int]:
-    """Contexts that may share a string: it covers half of what is left of the anchor's gram, or of what is right of it."""
-    half = (LENGTH - GRAM) // 2
-    left = [c[a - half : a] if a >= half else None for c, a in zip(contexts, lefts, strict=True)]
-    right = [c[a + GRAM : a + GRAM + half] if len(c) >= a + GRAM + half else None for c, a in zip(contexts, lefts, strict=True)]
-    n_left, n_right = Counter(left), Counter(right)
-    return [i for i, (x, y) in enumerate(zip(left, right, strict=True)) if (x is not None and n_left[x] > 1) or (y is not None and n_right[y] > 1)]
+class Member(NamedTuple):
+    """A context of an anchor."""
+
+    doc_id: int | None
+    rid: int
+    start: int
+    left: int  # bytes before the anchor's gram
+    context: bytes
+
+    @property
+    def order(self) -> tuple:
+        return ((0, 0) if self.doc_id is None else (1, self.doc_id), self.rid), self.start
+
+
+def split(group: list[Member], least: int, most: int) -> Iterator[list[Member]]:
+    """Members of one anchor that share what all strings with least..most bytes before the gram hold of them.
+
+    Only members that have such strings, and share it with another, are handed on.
+    """
+    right = LENGTH - GRAM - most
+    by: dict[bytes, list[Member]] = defaultdict(list)
+    for m in group:
+        if m.left >= least and m.left - (len(m.context) - LENGTH) <= most:
+            by[m.context[m.left - least : m.left + GRAM + right]].append(m)
+    return (members for members in by.values() if len(members) > 1)
 
 
 class Decider:
-    """Takes contexts sorted by hash, anchor's place, bytes and place in the corpus; gives (rid, start, end) of repeated bytes."""
+    """Takes contexts sorted by hash, anchor's place, bytes and place in the corpus; gives (rid, start, end) of repeated bytes.
+
+    What is sorted at once is bounded by about POOL bytes: a larger group is divided by what its strings share, by halves of the
+    anchor's places in them, down to strings that are equal.
+    """
 
     def __init__(self):
         self.last: tuple | None = None  # hash, left, context of the last row
-        self.group: list[tuple] = []  # first rows of the differing contexts of the last hash
-        self.contexts: list[bytes] = []
-        self.order: list[tuple] = []
-        self.rids: list[int] = []
+        self.group: list[Member] = []  # first rows of the differing contexts of the last hash
+        self.pool: list[Member] = []
         self.size = 0
 
-    def settle(self, group: list[tuple]) -> None:
-        """Hand the differing contexts of one anchor to the pool: (doc_id, rid, start, left, context) each."""
-        for i in worth_sorting([g[4] for g in group], [g[3] for g in group]):
-            doc_id, rid, start, _, context = group[i]
-            self.contexts.append(context)
-            self.order.append((((0, 0) if doc_id is None else (1, doc_id), rid), start))
-            self.rids.append(rid)
-            self.size += len(context)
+    def settle(self, group: list[Member], least: int = 0, most: int = LENGTH - GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Decide the differing contexts of one anchor, as far as they concern strings with least..most bytes before its gram."""
+        size = sum(len(m.context) for m in group)
+        if size <= POOL:
+            self.pool += group
+            self.size += size
+            if self.size >= POOL:
+                yield self.sort_pool()
+        elif least == most:  # one string each, and all are equal
+            first = min(group, key=lambda m: (m.order[0], m.start + m.left))
+            later = [m for m in group if m is not first]
+            begin = np.array([m.start + m.left - least for m in later])
+            yield np.array([m.rid for m in later]), begin, begin + LENGTH
+        else:
+            middle = (least + most) // 2
+            for a, b in ((least, middle), (middle + 1, most)):
+                for members in split(group, a, b):
+                    yield from self.settle(members, a, b)
 
     def sort_pool(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        owner, within = repeated(self.contexts, self.order)
+        pool, self.pool, self.size = self.pool, [], 0
+        owner, within = repeated([m.context for m in pool], [m.order for m in pool])
         owner, a, b = covered(owner, within)
-        base = np.array([p for _, p in self.order])[owner]
-        out = np.array(self.rids)[owner], base + a, base + b
-        self.contexts, self.order, self.rids, self.size = [], [], [], 0
-        return out
+        base = np.array([m.start for m in pool])[owner]
+        return np.array([m.rid for m in pool])[owner], base + a, base + b
+
+    def close(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The group of the last hash is complete."""
+        group, self.group = self.group, []
+        if len(group) > 1:
+            half = (LENGTH - GRAM) // 2
+            worth = {id(m): m for a, b in ((0, half - 1), (half, 2 * half)) for members in split(group, a, b) for m in members}
+            if len(worth) > 1:
+                yield from self.settle(list(worth.values()))
 
     def add(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         h, rid, start, left = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "rid", "start", "left"))
@@ -344,24 +383,17 @@ class Decider:
         yield rid[copies], start[copies], start[copies] + pc.binary_length(context).to_numpy()[copies]
         firsts = np.flatnonzero(~same)
         bounds = np.append(np.flatnonzero(~same_h[firsts]), len(firsts))  # where a new hash begins
-        row = lambda i: (doc_id[i].as_py(), int(rid[i]), int(start[i]), int(left[i]), context[i].as_py())
+        row = lambda i: Member(doc_id[i].as_py(), int(rid[i]), int(start[i]), int(left[i]), context[i].as_py())
         head = firsts[: bounds[0]]
         self.group += [row(i) for i in head.tolist()]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if len(self.group) > 1:
-                self.settle(self.group)
-                self.group = []
-                if self.size >= POOL:
-                    yield self.sort_pool()
+            yield from self.close()
             if b - a > 1 or b == len(firsts):
                 self.group = [row(i) for i in firsts[a:b].tolist()]
-            else:
-                self.group = []
 
     def end(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if len(self.group) > 1:
-            self.settle(self.group)
-        if self.contexts:
+        yield from self.close()
+        if self.pool:
             yield self.sort_pool()
 
 
@@ -447,7 +479,7 @@ def beside_texts(docs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFr
 class Earliest:
     """Holds back contexts of one task: of equal ones only the earliest goes on, the others are repeats and become marks."""
 
-    def __init__(self, most: int = 60_000):
+    def __init__(self, most: int = 30_000):
         self.most, self.kept, self.marks = most, {}, []
 
     def add(self, h: int, doc_id: int | None, rid: int, start: int, left: int, context: bytes) -> None:

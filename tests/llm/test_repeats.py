@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -105,3 +106,31 @@ def test_the_text_without_repeats(spark, docs_of):
     out = repeats.without_repeats(docs_of(rows).coalesce(1))
     got = {r.doc_id: r for r in out.collect()}
     assert out.columns == docs_of(rows).columns and got[1].text == rows[0][1] and got[2].text == "xend" and got[3].text is None and got[4].text == "x" and got[2].n_chars == 4
+
+
+@pytest.mark.parametrize("pool", [1 << 19, 2000, 300, 0])
+@pytest.mark.parametrize("size", [5, 1000])
+def test_groups_of_any_size_are_decided(monkeypatch, pool, size):
+    """A pool of no bytes divides every group down to equal strings."""
+    monkeypatch.setattr(repeats, "POOL", pool)
+    texts = [t.encode() for _, t in passages(6, 90)]
+    rows = []
+    for n, places, hashes in repeats.anchor_batches(iter(texts)):
+        for place, h in zip(places.tolist(), hashes.view("int64").tolist(), strict=True):
+            at, lo, hi = repeats.unpacked_place(place)
+            rows.append({"h": h, "doc_id": n, "rid": n, "start": lo, "left": at - lo, "context": texts[n][lo : hi + 100], "end": None})
+    rows.sort(key=lambda r: (r["h"], r["left"], r["context"], r["rid"], r["start"]))
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("left", pa.int64()), ("context", pa.binary()), ("end", pa.int64())])
+    decider, gone = repeats.Decider(), [bytearray(len(t)) for t in texts]
+
+    def mark(spans):
+        for rid, a, b in zip(*(x.tolist() for x in spans), strict=True):
+            gone[rid][a:b] = b"\1" * (b - a)
+
+    for i in range(0, len(rows), size):
+        for spans in decider.add(pa.RecordBatch.from_pylist(rows[i : i + size], schema)):
+            mark(spans)
+    for spans in decider.end():
+        mark(spans)
+    assert sorted(sum(g) for g in gone) == sorted(r[2] for r in plain([(n, t.decode()) for n, t in enumerate(texts)]))
+    assert sum(map(sum, gone)) > 5000
