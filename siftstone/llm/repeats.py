@@ -33,6 +33,8 @@ from siftstone.llm.common import TABLES, dropped, join_counted, only, picked, re
 LENGTH, GRAM = 100, 32
 #: Grams of a string.
 SPAN = LENGTH - GRAM + 1
+#: Differing contexts of one anchor that a task decides, at most; of more, each string is dealt out by itself.
+GROUP_LIMIT = 100_000
 #: Bytes of texts whose grams are hashed at once, and of contexts whose suffixes are sorted at once.
 CHUNK, POOL = 1 << 18, 1 << 19
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -327,10 +329,12 @@ class Decider:
     """Takes contexts sorted by hash, anchor's place, bytes and place in the corpus; gives (rid, start, end) of repeated bytes.
 
     What is sorted at once is bounded by about POOL bytes: a larger group is divided by what its strings share, by halves of the
-    anchor's places in them, down to strings that are equal.
+    anchor's places in them, down to strings that are equal. Groups of more than `limit` contexts aren't held at all but go to `excess`.
     """
 
-    def __init__(self):
+    def __init__(self, limit: int = GROUP_LIMIT):
+        self.limit, self.excess = limit, []
+        self.over = False  # whether the open group is in excess
         self.last: tuple | None = None  # hash, left, context of the last row
         self.group: list[Member] = []  # first rows of the differing contexts of the last hash
         self.pool: list[Member] = []
@@ -384,12 +388,21 @@ class Decider:
         firsts = np.flatnonzero(~same)
         bounds = np.append(np.flatnonzero(~same_h[firsts]), len(firsts))  # where a new hash begins
         row = lambda i: Member(doc_id[i].as_py(), int(rid[i]), int(start[i]), int(left[i]), context[i].as_py())
-        head = firsts[: bounds[0]]
-        self.group += [row(i) for i in head.tolist()]
+        self.more([row(i) for i in firsts[: bounds[0]].tolist()])
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield from self.close()
+            self.over = False
             if b - a > 1 or b == len(firsts):
-                self.group = [row(i) for i in firsts[a:b].tolist()]
+                self.more([row(i) for i in firsts[a:b].tolist()])
+
+    def more(self, members: list[Member]) -> None:
+        """More members of the open group."""
+        if self.over:
+            self.excess += members
+            return
+        self.group += members
+        if len(self.group) > self.limit:
+            self.excess, self.group, self.over = self.excess + self.group, [], True
 
     def end(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         yield from self.close()
@@ -535,7 +548,31 @@ def contexts(docs: DataFrame, met: DataFrame) -> DataFrame:
     return beside_texts(docs, met, ["pos", "h"]).mapInArrow(cut, CONTEXTS)
 
 
-def marks(docs: DataFrame) -> DataFrame:
+#: A mark, or with a context one of a group that is too large for a task.
+DECIDED = "rid long, start long, end long, doc_id long, context binary"
+
+
+def single_strings(found: DataFrame) -> DataFrame:
+    """rid, start, end of strings of over-large groups that occur earlier: each string is dealt out by a 128-bit digest of its bytes."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at, row = [], [], []
+            for i, (start, context) in enumerate(zip(batch.column("start").to_pylist(), batch.column("context").to_pylist(), strict=True)):
+                n = len(context) - LENGTH + 1
+                keys += [hashlib.blake2b(context[k : k + LENGTH], digest_size=16).digest() for k in range(n)]
+                at += range(start, start + n)
+                row += [i] * n
+            where = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("doc_id").take(where), batch.column("rid").take(where), pa.array(at, pa.int64())], names=["key", "doc_id", "rid", "start"])
+
+    strings = found.mapInArrow(each, "key binary, doc_id long, rid long, start long")
+    firsts = strings.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "start")).alias("first")).where("n > 1")
+    later = join_counted(strings, firsts, "key", "n", strings.count(), "inner").where((F.col("rid") != F.col("first.rid")) | (F.col("start") != F.col("first.start")))
+    return later.select("rid", "start", (F.col("start") + LENGTH).alias("end"))
+
+
+def marks(docs: DataFrame, limit: int) -> DataFrame:
     """rid, start, end of all bytes to be removed; spans may overlap."""
     docs = docs.drop("rest")
     whole = written(copies(docs), "copies")
@@ -543,27 +580,42 @@ def marks(docs: DataFrame) -> DataFrame:
     around = contexts(rest, meeting_anchors(rest))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decider = Decider()
-        batch_of = lambda rid, a, b: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rid, a, b)], names=["rid", "start", "end"])
+        decider = Decider(limit)
+        names = [x.split(" ")[0] for x in DECIDED.split(", ")]
+
+        def batch_of(rid, a, b) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (rid, a, b)), pa.nulls(len(rid), pa.int64()), pa.nulls(len(rid), pa.binary())], names=names)
+
+        def excess() -> Iterator[pa.RecordBatch]:
+            got, decider.excess = decider.excess, []
+            for i in range(0, len(got), 10_000):
+                part = got[i : i + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([m.rid for m in part], pa.int64()), pa.array([m.start for m in part], pa.int64()), pa.nulls(len(part), pa.int64()), pa.array([m.doc_id for m in part], pa.int64()), pa.array([m.context for m in part], pa.binary())], names=names)
+
         for batch in batches:
             settled = pc.is_null(batch.column("h"))
             done = batch.filter(settled)
             if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(c) for c in ("rid", "start", "end")], names=["rid", "start", "end"])
+                yield batch_of(*(done.column(c) for c in ("rid", "start", "end")))
             if done.num_rows < batch.num_rows:
                 for spans in decider.add(batch.filter(pc.invert(settled))):
                     yield batch_of(*spans)
+                yield from excess()
         for spans in decider.end():
             yield batch_of(*spans)
+        yield from excess()
 
     dealt = around.repartition(F.coalesce("h", "rid")).sortWithinPartitions("h", "left", "context", F.asc_nulls_first("doc_id"), "rid", "start")
-    return dealt.mapInArrow(decide, "rid long, start long, end long").unionByName(whole.select("rid", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
+    found = written(dealt.mapInArrow(decide, DECIDED), "decided")
+    spans = found.where("context is null").select("rid", "start", "end").unionByName(whole.select("rid", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
+    large = found.where("context is not null")
+    return spans if large.isEmpty() else spans.unionByName(single_strings(large))
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """rid, doc_id, n_bytes, n_removed, n_spans, kept (bytes), and rest if docs has it, of docs with rid, doc_id, text."""
     since = len(TABLES)
-    gone = only(marks(docs), since)
+    gone = only(marks(docs, limit), since)
     with_rest = "rest" in docs.columns
     names = ["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -608,7 +660,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     return beside_texts(docs, gone, ["start", "end"]).mapInArrow(remove, f"rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary{rest}")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """What is removed from each whole text, and the SHA-256 of what is kept; a row for each row of docs.
 
     docs has doc_id and text; other columns are ignored. Texts are UTF-8 bytes, a null text none. A byte is removed if a string of 100
@@ -617,7 +669,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     under 100 bytes are kept. An empty table gives no rows.
     """
     ship(docs.sparkSession)
-    return cleaned(with_rid(texts(docs))).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cleaned(with_rid(texts(docs)), limit).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

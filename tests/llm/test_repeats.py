@@ -57,6 +57,12 @@ def test_unique_ids_over_many_partitions(docs_of):
     assert rows_of(repeats.remove_repeats(docs_of(rows).repartition(7))) == plain(rows)
 
 
+@pytest.mark.parametrize("limit", [1, 3])
+def test_large_groups_are_dealt_out_by_string(docs_of, limit):
+    rows = passages(7)
+    assert rows_of(repeats.remove_repeats(docs_of(rows).coalesce(1), limit)) == plain(rows)
+
+
 def test_documents(documents, texts):
     assert rows_of(repeats.remove_repeats(documents)) == plain(texts)
 
