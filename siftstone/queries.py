@@ -154,13 +154,19 @@ def fts_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.phrase_counts(lexical.postings_of(doc_files(spark, sf_dir), "doc_id", ["content"]), [["of", "the"], ["mit", "license"], ["the"]], "doc_id")
+    phrases = [["of", "the"], ["mit", "license"], ["the"]]
+    return lexical.phrase_counts(lexical.postings_of(doc_files(spark, sf_dir), "doc_id", ["content"], terms_of(phrases)), phrases, "doc_id")
+
+
+def terms_of(phrases: list[list[str]]) -> set[str]:
+    return {t for p in phrases for t in p}
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, bm25 and the chunk's place for the words."""
     c = doc_chunks(spark, sf_dir)
-    posts, phrases = lexical.postings_of(c, "chunk_id", ["path", "content"]), query_phrases(WORDS)
+    phrases = query_phrases(WORDS)
+    posts = lexical.postings_of(c, "chunk_id", ["path", "content"], terms_of(phrases))
     length = F.size(text.fts_tokens(F.col("path"))) + F.size(text.fts_tokens(F.col("content")))
     lengths = c.select(*REPO_TIES, length.alias("doc_len"))
     n, tokens = lengths.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
