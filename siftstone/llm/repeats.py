@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import TABLES, dropped, join_counted, only, picked, release, ship, texts, with_rid, written
+from siftstone.llm.common import dropped, join_counted, picked, release, ship, texts, with_rid, written
 
 #: Bytes of a string that may occur once only, and of a gram.
 LENGTH, GRAM = 100, 32
@@ -577,7 +577,8 @@ def marks(docs: DataFrame, limit: int) -> DataFrame:
     docs = docs.drop("rest")
     whole = written(copies(docs), "copies")
     rest = picked(docs, whole, "left_anti")
-    around = contexts(rest, meeting_anchors(rest))
+    met = meeting_anchors(rest)
+    around = contexts(rest, met)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decider = Decider(limit)
@@ -607,6 +608,8 @@ def marks(docs: DataFrame, limit: int) -> DataFrame:
 
     dealt = around.repartition(F.coalesce("h", "rid")).sortWithinPartitions("h", "left", "context", F.asc_nulls_first("doc_id"), "rid", "start")
     found = written(dealt.mapInArrow(decide, DECIDED), "decided")
+    dropped(met)
+    release(docs.sparkSession)
     spans = found.where("context is null").select("rid", "start", "end").unionByName(whole.select("rid", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
     large = found.where("context is not null")
     return spans if large.isEmpty() else spans.unionByName(single_strings(large))
@@ -614,8 +617,7 @@ def marks(docs: DataFrame, limit: int) -> DataFrame:
 
 def cleaned(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """rid, doc_id, n_bytes, n_removed, n_spans, kept (bytes), and rest if docs has it, of docs with rid, doc_id, text."""
-    since = len(TABLES)
-    gone = only(marks(docs, limit), since)
+    gone = marks(docs, limit)
     with_rest = "rest" in docs.columns
     names = ["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
