@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from siftstone.llm.common import dropped, written
 
 
+#: Links of a written file, about; rounds over few links shouldn't write many small files.
+ROWS_A_FILE = 250_000
+
+
 def large_star(links: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the smallest among the node and its neighbours."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,7 +37,7 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     for _ in range(most_rounds):
         if not state[0]:
             break
-        after = written(small_star(large_star(now)), "links")
+        after = written(small_star(large_star(now)).coalesce(1 + state[0] // ROWS_A_FILE), "links")
         new = mark(after)
         dropped(now)
         now = after
