@@ -1,9 +1,10 @@
 """Licence scan with a positional index of rare words.
 
 The templates' words are indexed by (template, position). One pass over the corpus counts in how many documents each
-indexed word occurs. For a document, the highest-IDF licence words in it are looked up; every occurrence votes for
-(template, position in the document - position in the template). An alignment that enough words agree on is
-verified: the template's mandatory key phrases must stand there, and most of its words in place.
+indexed word occurs. For a document, each template's words in it are looked up, highest IDF first; every occurrence votes for
+(template, position in the document - position in the template). An alignment that two words agree on is
+verified: the template's mandatory key phrases must stand there, and most of its words in place. A template's lookup ends only
+when the words that are left can make no alignment that would change the result; so IDF decides on the work, not on what is found.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,8 +49,8 @@ TEMPLATES = [
 ]
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
-#: Licence words that are looked up in a document, rarest first; two must agree on an alignment.
-RARE_WORDS, VOTES = 6, 2
+#: Alignments are tried by where they start, so many words at a time; memory for votes follows this, not the document.
+BLOCK = 8192
 #: Share of a template's words that must stand in place.
 COVERAGE = 0.75
 
@@ -62,41 +64,57 @@ def words(text: str) -> list[bytes]:
 
 
 class Index:
-    """Postings of the templates' words, ranked by how few documents hold a word."""
+    """Places of each template's words, ranked by how few documents hold a word."""
 
     def __init__(self, templates: list[tuple[str, str, list[str]]], n_docs: int, df: dict[bytes, int]):
         self.templates = [(label, body.encode().split(), [k.encode().split() for k in keys]) for label, body, keys in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, body, _) in enumerate(self.templates):
-            for q, w in enumerate(body):
-                self.postings[w].append((t, q))
-        self.idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) for w in self.postings}
-        self.vocab = frozenset(self.postings)
+        self.vocab = frozenset(w for _, body, _ in self.templates for w in body)
+        self.idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) for w in self.vocab}
+        self.longest = max((len(body) for _, body, _ in self.templates), default=0)
+        #: For each template its words, rarest first, with all their places in it.
+        self.postings = [[(w, [q for q, x in enumerate(body) if x == w]) for w in sorted(set(body), key=lambda w: (-self.idf[w], w))] for _, body, _ in self.templates]
 
     def found(self, ws: list[bytes]) -> tuple[set[str], float]:
-        """Verified labels, and the best coverage of an alignment: in full if verified, half of it otherwise."""
-        present = self.vocab.intersection(ws)
-        if len(present) < VOTES:
-            return set(), 0.0
-        rare = set(sorted(present, key=lambda w: (-self.idf[w], w))[:RARE_WORDS])
-        votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        for p, w in enumerate(ws):
-            if w in rare:
-                for t, q in self.postings[w]:
-                    votes[t, p - q].add(w)
+        """Verified labels, and the best coverage of an alignment of two words or more: in full if verified, half of it otherwise."""
         labels, best = set(), 0.0
-        for (t, start), agreed in votes.items():
-            if len(agreed) < VOTES:
-                continue
-            label, body, keys = self.templates[t]
-            in_place = sum(1 for q, w in enumerate(body) if 0 <= start + q < len(ws) and ws[start + q] == w) / len(body)
-            if in_place >= COVERAGE and self._keys(ws, max(0, start), start + len(body), keys):
-                labels.add(label)
-                best = max(best, in_place)
-            else:
-                best = max(best, in_place / 2)
+        if len(self.vocab.intersection(ws)) < 2:
+            return labels, best
+        for start in range(1 - self.longest, len(ws), BLOCK):
+            best = self._block(ws, start, start + BLOCK, labels, best)
         return labels, best
 
+    def _block(self, ws: list[bytes], begin: int, end: int, labels: set[str], best: float) -> float:
+        """Try the alignments that start in [begin, end); adds to labels and returns the best coverage so far."""
+        vocab, places = self.vocab, defaultdict(list)
+        first = max(0, begin)
+        for p, w in enumerate(ws[first : end + self.longest], first):
+            if w in vocab:
+                places[w].append(p)
+        for (label, body, keys), postings in zip(self.templates, self.postings, strict=True):
+            here = [(w, qs) for w, qs in postings if w in places]
+            left, most, size = sum(len(qs) for _, qs in here), 0, len(body)
+            votes: dict[int, bytes | None] = {}  # start: the one word that agrees on it, None if it has been tried
+            for w, qs in here:
+                # An alignment that isn't tried yet has in place what is left, and of the words before at most one.
+                reach = (left + most) / size
+                if reach < COVERAGE and reach / 2 <= best:
+                    break
+                for q in qs:
+                    for p in places[w]:
+                        start = p - q
+                        if not begin <= start < end or (before := votes.setdefault(start, w)) is None or before == w:
+                            continue
+                        votes[start] = None
+                        at = max(0, -start)
+                        in_place = sum(map(eq, body[at:], ws[start + at : start + size])) / size
+                        if in_place >= COVERAGE and self._keys(ws, max(0, start), start + size, keys):
+                            labels.add(label)
+                            best = max(best, in_place)
+                        else:
+                            best = max(best, in_place / 2)
+                left, most = left - len(qs), max(most, len(qs))
+        return best
+
     @staticmethod
     def _keys(ws: list[bytes], start: int, end: int, keys: list[list[bytes]]) -> bool:
         here = ws[start:end]

@@ -1,3 +1,4 @@
+import random
 import re
 
 from siftstone.llm import licenses
@@ -42,3 +43,50 @@ def test_labels_of_the_method(docs_of):
 def test_overlapping_places_all_count():
     ws = licenses.words("cc by nc cc by nc")
     assert licenses.base_places(ws) == [(0, "cc-by-nc"), (3, "cc-by-nc")]
+
+
+def whole(ws, templates=licenses.TEMPLATES):
+    """Labels and score by definition: every alignment of every template that two different words agree on."""
+    labels, best = set(), 0.0
+    for label, body, keys in templates:
+        body = body.encode().split()
+        for start in range(-len(body), len(ws)):
+            hits = [w for q, w in enumerate(body) if 0 <= start + q < len(ws) and ws[start + q] == w]
+            if len(set(hits)) < 2:
+                continue
+            share, there = len(hits) / len(body), b" %s " % b" ".join(ws[max(0, start) : start + len(body)])
+            if share >= licenses.COVERAGE and all(b" %s " % k.encode() in there for k in keys):
+                labels.add(label)
+                best = max(best, share)
+            else:
+                best = max(best, share / 2)
+    return labels, best
+
+
+COMMON = {w: 200 for w in b"licensed under the gnu general public license version this work is".split()}
+
+
+def test_two_licences_and_rare_words_elsewhere():
+    index = licenses.Index(licenses.TEMPLATES, 10_000, COMMON)
+    both = "Licensed under the BSD 3-Clause License. This work is licensed under the GNU General Public License, version 2."
+    hidden = "Please save the source file in binary form and send one copy to the person in charge. This work is licensed under the GNU General Public License, version 3."
+    assert index.found(licenses.words(both)) == ({"bsd", "gpl-2"}, 1)
+    assert index.found(licenses.words(hidden)) == ({"gpl-3"}, 1)
+    notices = " some words between ".join(body for _, body, _ in licenses.TEMPLATES)
+    assert index.found(licenses.words(notices)) == ({label for label, _, _ in licenses.TEMPLATES}, 1)
+
+
+def test_found_equals_the_definition_whatever_is_rare(monkeypatch):
+    r = random.Random(5)
+    vocab = sorted({w for _, body, _ in licenses.TEMPLATES for w in body.split()})
+    for n in range(150):
+        parts = []
+        for _ in range(r.randint(0, 6)):
+            body = r.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(r.randint(0, 5)):
+                body[r.randrange(len(body))] = r.choice(vocab)
+            parts += body[r.choice((0, 0, r.randrange(len(body)))) :] + [r.choice((*vocab, "other")) for _ in range(r.randint(0, 12))]
+        ws = licenses.words(" ".join(parts))
+        index = licenses.Index(licenses.TEMPLATES, 1000, {w.encode(): r.choice((0, 1, 30, 900)) for w in vocab})
+        monkeypatch.setattr(licenses, "BLOCK", r.choice((7, 8192)))
+        assert index.found(ws) == whole(ws)
