@@ -150,7 +150,8 @@ class Encoder:
     """ids of a text by the byte-level vocabulary, with the end of a document behind them.
 
     The same ranks and pattern as the tokenizer file, run by tiktoken; the file's added tokens are found in texts as the
-    tokenizers library does.
+    tokenizers library does. tiktoken's pattern matching gives up on about a million white-space characters in a row; a
+    text that it refuses goes through the tokenizers library itself.
     """
 
     def __init__(self, path: str):
@@ -158,6 +159,7 @@ class Encoder:
 
         import tiktoken
 
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         visible = {c: b for b, c in byte_letters().items()}
@@ -166,10 +168,20 @@ class Encoder:
         self.encoding = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def __call__(self, text: str) -> np.ndarray:
-        ids = self.encoding.encode(text, allowed_special="all")
+        try:
+            ids = self.encoding.encode(text, allowed_special="all")
+        except ValueError:
+            ids = self._by_library(text)
         ids.append(END_ID)
         return np.array(ids, "<u4")
 
+    def _by_library(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library.encode(text, add_special_tokens=False).ids
+
 
 #: Fixed value: how the byte-level vocabulary splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -79,3 +79,10 @@ def test_odd_rows(odd, empty, path):
     for i, x in rows:
         want[i] += len(t.encode(x, add_special_tokens=False).ids) + 1
     assert total == want and packing.pack(empty, path).isEmpty()
+
+
+def test_very_long_white_space(docs_of, path):
+    t = tokenizers.Tokenizer.from_file(path)
+    rows = [(1, " " * 2_000_000), (2, "before" + "\n" * 1_200_000 + "behind <|endoftext|> it"), (3, "short")]
+    ids = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in rows}
+    assert held([tuple(r) for r in packing.pack(docs_of(rows), path).collect()], ids) <= 4096
