@@ -33,8 +33,8 @@ MANIFEST = "path string, shard int, sequence int, records long, bytes long, sha2
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 #: Payload bytes of a shard, about, and the number of shards at most; files roll within a shard.
 SHARD_BYTES, MOST_SHARDS = 16 << 20, 8192
-#: Compressed bytes after which a file is closed.
-ROLL_BYTES = 64 << 20
+#: Compressed bytes after which a file is closed; an ordinary shard, several times this when compressed, rolls.
+ROLL_BYTES = 2 << 20
 #: Ids that the bounds of shards are taken from, about.
 SAMPLED_IDS = 20_000
 #: The date in all headers; a parameter, as reruns must give the same bytes.

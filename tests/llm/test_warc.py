@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 from pathlib import Path
 
 import pytest
@@ -103,3 +104,11 @@ def test_damage_is_noticed(spark, tmp_path):
     file.write_bytes(data[:-30])
     with pytest.raises(Exception, match="ends within"):
         warc.read(spark, folder).collect()
+
+
+def test_an_ordinary_shard_rolls(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(i, "u", r.randbytes(500_000).hex()) for i in range(12)]
+    files = warc.write(frame(spark, rows), (tmp_path / "w").as_uri()).orderBy("path").collect()
+    assert len({f.shard for f in files}) == 1 and [f.sequence for f in files] == list(range(len(files))) and len(files) > 1
+    assert rows_of(warc.read(spark, (tmp_path / "w").as_uri())) == plain(rows)
