@@ -19,6 +19,7 @@ import re
 import sys
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,6 +63,9 @@ class Merges:
         self.width = {t: self._symbols(t) for t in vocab}
         #: No token covers more symbols than this; it suffices as lookahead.
         self.lookahead = max(self.width[t] for t in self.parts)
+        #: What tokens end with, in whole symbols, and whether it is a token that is its own encoding.
+        self.endings = {t[i:]: False for t in self.parts for i in range(self.width[t])}
+        self.endings |= {t: True for t in vocab if self.merged(self.split(t)) == [t]}
         self.stands = lru_cache(1 << 18)(self._stands)
 
     def _symbols(self, token: str) -> int:
@@ -92,39 +96,39 @@ class Merges:
     def _stands(self, left: str, right: str) -> bool:
         return self.merged([*self.split(left), *self.split(right)]) == [left, right]
 
-    @lru_cache(1 << 16)  # noqa: B019  one list of merges lives as long as its worker
-    def proper(self, token: str) -> bool:
-        """Whether a token is its own encoding."""
-        return self.merged(self.split(token)) == [token]
-
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of a word of any length, each as soon as no later symbol can change it."""
         # tail[i] is the last token of the prefix that ends at position base + i; base itself ends an emitted token.
         window: list[str] = []
         tail: list[str | None] = [None]
         before: str | None = None  # the last emitted token
+        endings, stands, lookahead = self.endings, self.stands, self.lookahead
         for s in symbols:
             window.append(s)
-            tail.append(self._last(window, tail, before))
-            if len(tail) > 2 * self.lookahead:
+            start = len(window) - 1
+            least, token, tokens = max(0, start + 1 - lookahead), s, []
+            while (own := endings.get(token)) is not None:  # else no token ends with this, so none with more
+                if own:
+                    tokens.append((start, token))
+                if start == least:
+                    break
+                start -= 1
+                token = window[start] + token
+            found = None
+            while tokens:  # the longest first
+                start, token = tokens.pop()
+                left = tail[start] if start else before
+                if (start == 0 and before is None) or (left is not None and stands(left, token)):
+                    found = token
+                    break
+            tail.append(found)
+            if len(tail) > 2 * lookahead:
                 yield from (done := self._stable(tail))
                 if done:
                     cut, before = sum(self.width[t] for t in done), done[-1]
                     window, tail = window[cut:], [None, *tail[cut + 1 :]]
         yield from self._path(tail, len(tail) - 1)
 
-    def _last(self, window: list[str], tail: list[str | None], before: str | None) -> str | None:
-        end, token = len(window), ""
-        found = None
-        for start in range(end - 1, max(-1, end - 1 - self.lookahead), -1):
-            token = window[start] + token
-            if token not in self.vocab or not self.proper(token):
-                continue
-            left = tail[start] if start else before
-            if (start == 0 and before is None) or (left is not None and self.stands(left, token)):
-                found = token
-        return found
-
     def _path(self, tail: list[str | None], at: int) -> list[str]:
         out = []
         while at:
@@ -146,8 +150,10 @@ class Merges:
 class WordBpe:
     """Encoder and decoder of a vocabulary file with word ends: NFC, white space dropped, lower case, byte letters."""
 
-    #: Words of more symbols than this are streamed; shorter ones fit the lookahead and are merged at once.
+    #: The tokens of words of up to this many symbols are kept for when they come again.
     SHORT = 64
+    #: Characters of a text that are split at a time, about, and tokens of a long chunk that wait for the digests.
+    BLOCK, WAITING = 1 << 16, 4096
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -169,43 +175,56 @@ class WordBpe:
         self.words: dict[str, tuple[str, ...]] = {}
 
     def word(self, word: str) -> Iterable[str]:
+        """Tokens of a word, from the transducer; of a long one each as soon as it is stable."""
         if (known := self.words.get(word)) is not None:
             return known
-        shown = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode("utf-8")])
-        symbols = self.merges.symbols(shown)
-        if len(symbols) > self.SHORT:
-            return self.merges.stream(symbols)
+        data = word.encode("utf-8")
+        if len(data) > self.SHORT:
+            return self.merges.stream(self._symbols(data))
         if len(self.words) >= CACHE_ENTRIES:
             self.words.clear()
-        known = self.words[word] = tuple(self.merges.merged(symbols))
+        symbols = [self.letters[b] for b in data]
+        symbols[-1] += self.merges.end
+        known = self.words[word] = tuple(self.merges.stream(symbols))
         return known
 
+    def _symbols(self, data: bytes) -> Iterator[str]:
+        last = len(data) - 1
+        for i, b in enumerate(data):
+            yield self.letters[b] if i < last else self.letters[b] + self.merges.end
+
     def chunk_tokens(self, chunk: str) -> Iterator[str]:
         """Tokens of a text without white space or added tokens."""
         chunk = chunk.lower() if chunk.isascii() else self.normal.normalize_str(chunk)
         for m in self.pattern.finditer(chunk):
             yield from self.word(m[0])
 
-    def tokens(self, text: str) -> Iterator[str]:
-        """All tokens of a text, in order, one at a time."""
+    def chunks(self, text: str) -> Iterator[str]:
+        """Added tokens and what lies between white space, in order; a text is split block by block."""
         at = 0
         for m in self.special.finditer(text) if self.special else ():
-            yield from self._plain(text[at : m.start()])
+            yield from self._plain(text, at, m.start())
             yield m[0]
             at = m.end()
-        yield from self._plain(text[at:])
+        yield from self._plain(text, at, len(text))
+
+    def _plain(self, text: str, at: int, end: int) -> Iterator[str]:
+        while at < end:
+            found = self.gap.search(text, at + self.BLOCK, end)
+            to = found.start() if found else end
+            yield from filter(None, self.gap.split(text[at:to]))
+            at = found.end() if found else end
 
-    def _plain(self, text: str) -> Iterator[str]:
-        for chunk in self.gap.split(text):
-            if chunk:
-                yield from self.chunk_tokens(chunk)
+    def ids(self, chunk: str) -> Iterator[int]:
+        """Ids of a chunk, one at a time."""
+        return iter((self.added[chunk],)) if chunk in self.added else map(self.vocab.__getitem__, self.chunk_tokens(chunk))
 
     def encode(self, text: str) -> list[int]:
-        return [self.added[t] if t in self.added else self.vocab[t] for t in self.tokens(text)]
+        return [i for chunk in self.chunks(text) for i in self.ids(chunk)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """What the library's decode gives for a file without decoder: the tokens, a space between two."""
-        return " ".join(self.token[i] for i in ids)
+        return " ".join(map(self.token.__getitem__, ids))
 
     def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
         """Readable text, piece by piece: bytes of tokens through a UTF-8 state machine, a space at each word's end."""
@@ -220,50 +239,32 @@ class WordBpe:
             yield piece + " " if last else piece
 
     def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text; chunk by chunk, no list of all ids."""
+        """Number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them; part by part, no list of all ids."""
         count, ids_hash, text_hash, first = 0, hashlib.sha256(), hashlib.sha256(), True
-        if self.special and self.special.search(text):
-            parts = self._chunks_with_added(text)
-        else:
-            parts = self.gap.split(text)
         cache, buffer_ids, buffer_text = self.cache, [], []
-        for chunk in parts:
-            if not chunk:
-                continue
+        for chunk in self.chunks(text):
             known = cache.get(chunk)
-            if known is None:
-                known = self._encoded(chunk)
-            if not known[0]:
-                continue
-            count += known[0]
-            buffer_ids.append(known[1])
-            buffer_text.append(known[2])
-            if len(buffer_ids) >= 4096:
-                self._feed(ids_hash, text_hash, buffer_ids, buffer_text, first)
-                first, buffer_ids, buffer_text = False, [], []
+            for n, ids, decoded in (known,) if known is not None else self._encoded(chunk):
+                count += n
+                buffer_ids.append(ids)
+                buffer_text.append(decoded)
+                if len(buffer_ids) >= 4096 or n >= self.WAITING:
+                    self._feed(ids_hash, text_hash, buffer_ids, buffer_text, first)
+                    first, buffer_ids, buffer_text = False, [], []
         if buffer_ids:
             self._feed(ids_hash, text_hash, buffer_ids, buffer_text, first)
         return count, ids_hash.hexdigest(), text_hash.hexdigest()
 
-    def _chunks_with_added(self, text: str) -> Iterator[str]:
-        at = 0
-        for m in self.special.finditer(text):
-            yield from self.gap.split(text[at : m.start()])
-            yield m[0]
-            at = m.end()
-        yield from self.gap.split(text[at:])
-
-    def _encoded(self, chunk: str) -> tuple[int, str, str]:
-        if chunk in self.added:
-            known = (1, str(self.added[chunk]), chunk)
-        else:
-            tokens = list(self.chunk_tokens(chunk))
-            known = (len(tokens), " ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens))
-        if len(chunk) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[chunk] = known
-        return known
+    def _encoded(self, chunk: str) -> Iterator[tuple[int, str, str]]:
+        """Number of ids, ids and decoded ids of a chunk, of a long one in parts."""
+        ids = self.ids(chunk)
+        while part := list(islice(ids, self.WAITING)):
+            known = (len(part), " ".join(map(str, part)), self.decode(part))
+            if len(chunk) <= CACHE_CHARS:
+                if len(self.cache) >= CACHE_ENTRIES:
+                    self.cache.clear()
+                self.cache[chunk] = known
+            yield known
 
     @staticmethod
     def _feed(ids_hash, text_hash, ids: list[str], tokens: list[str], first: bool) -> None:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -76,3 +77,33 @@ def test_query(documents, texts, odd, empty, path, both):
     assert bpe.encode_digests(empty, path).isEmpty()
     for _, t in texts[:40]:
         agreed(both, t)
+
+
+def test_the_query_streams_every_word_and_decodes_from_ids(path, monkeypatch):
+    mine, streamed, decoded = bpe.WordBpe(path), [], []
+    stream, decode = mine.merges.stream, mine.decode
+    monkeypatch.setattr(mine.merges, "stream", lambda symbols: stream(streamed.append(0) or symbols))
+    monkeypatch.setattr(mine, "decode", lambda ids: decode(decoded.extend(ids) or ids))
+    text = "Short words, one<|endoftext|> and a" + "ab" * 3000 + " long end"
+    assert mine.digests(text)[0] == len(decoded) and decoded == mine.encode(text) and len(streamed) >= 8
+
+
+def test_blocks_and_parts_change_nothing(both, monkeypatch):
+    mine, whole = both[0], "one  two\u3000three<|endoftext|> " * 50 + "ab!" * 300 + " \n end "
+    for block, waiting in ((1, 1), (7, 5), (64, 4096)):
+        monkeypatch.setattr(mine, "BLOCK", block)
+        monkeypatch.setattr(mine, "WAITING", waiting)
+        mine.cache.clear()
+        mine.words.clear()
+        agreed(both, whole)
+
+
+def test_digests_hold_little_of_a_text(path):
+    mine = bpe.WordBpe(path)
+    text = "a b " * 500_000
+    mine.digests(text[:1000])
+    tracemalloc.start()
+    mine.digests(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
