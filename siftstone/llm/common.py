@@ -107,17 +107,35 @@ def release(spark: SparkSession) -> None:
 
 
 def is_scan(df: DataFrame) -> bool:
-    """Whether a frame only reads files, so that each reading gives the same rows in the same order."""
+    """Whether a frame only reads Parquet files, so that each of its rows has a place: a file and a number in it."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    heads = [line.lstrip(" +-:").split(" ")[0] for line in plan.strip().splitlines()]
-    return heads[-1].startswith("Relation") and all(h in ("Project", "Filter") or h.startswith("Relation") for h in heads)
+    lines = [line.lstrip(" +-:") for line in plan.strip().splitlines()]
+    return lines[-1].startswith("Relation") and lines[-1].endswith(" parquet") and all(line.split(" ")[0] in ("Project", "Filter") for line in lines[:-1])
+
+
+#: Seeds of the hash of file names that are tried at once.
+SEEDS = 8
 
 
 def with_rid(df: DataFrame, name: str = "rid") -> DataFrame:
-    """Add a row id that is the same at every evaluation; frames that aren't plain scans are written first."""
+    """Add a row id that is the same at every evaluation, however the files are split; frames that aren't plain scans are written first.
+
+    The id is made of a row's place alone: a hash of its file's name, and below it the row's number in that file. How many bits the numbers take
+    follows from the longest file; of some seeds one is taken for which no two files share a hash. Only these figures reach the driver.
+    """
     if not is_scan(df):
         df = written(df, "rows")
-    return df.withColumn(name, F.monotonically_increasing_id())
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = df.select(file.alias("file"), row.alias("row")).groupBy("file").agg(F.max("row").alias("last"))
+    bits = max(1, int(files.agg(F.coalesce(F.max("last"), F.lit(0))).first()[0]).bit_length())
+    head = lambda name, seed: F.shiftrightunsigned(F.xxhash64(F.lit(seed), name), bits + 1)
+    for first in range(0, 64 * SEEDS, SEEDS):
+        seeds = range(first, first + SEEDS)
+        n, *different = files.agg(F.count("*"), *[F.count_distinct(head(F.col("file"), s)) for s in seeds]).first()
+        if n in different:
+            seed = seeds[different.index(n)]
+            return df.withColumn(name, F.shiftleft(head(file, seed), bits) + row)
+    raise RuntimeError("file names have no different hashes")
 
 
 def texts(docs: DataFrame) -> DataFrame:
