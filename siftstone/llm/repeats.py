@@ -10,12 +10,14 @@ than their successors are sorted directly, all others are induced by a scan over
 with a common prefix of 100 bytes or more are repeats; of those that share one, the earliest occurrence stays.
 
 A hash only brings bytes together; every decision compares bytes. Anchors that a task sees twice aren't shuffled but for
-one, so no common passage gathers more rows than there are batches.
+one, so no common passage gathers more rows than there are batches. A common line that is shorter than a string makes an anchor with as many
+differing contexts as there are documents. These are divided before they are dealt out: strings with an anchor's gram in their first half share the
+bytes behind it, those with it in their second half the bytes before it, and so on by halves of halves until no part is large;
+at the end a part's strings are equal, and equal ones are collapsed where they are found.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -23,6 +25,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +36,8 @@ from siftstone.llm.common import dropped, join_counted, picked, release, ship, t
 LENGTH, GRAM = 100, 32
 #: Grams of a string.
 SPAN = LENGTH - GRAM + 1
-#: Differing contexts of one anchor that a task decides, at most; of more, each string is dealt out by itself.
-GROUP_LIMIT = 100_000
+#: Contexts of one anchor that meet in a task, at most; more are divided by what their strings share before they are dealt out.
+HOT_CONTEXTS = 2000
 #: Bytes of texts whose grams are hashed at once, and of contexts whose suffixes are sorted at once.
 CHUNK, POOL = 1 << 18, 1 << 19
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -329,12 +332,10 @@ class Decider:
     """Takes contexts sorted by hash, anchor's place, bytes and place in the corpus; gives (rid, start, end) of repeated bytes.
 
     What is sorted at once is bounded by about POOL bytes: a larger group is divided by what its strings share, by halves of the
-    anchor's places in them, down to strings that are equal. Groups of more than `limit` contexts aren't held at all but go to `excess`.
+    anchor's places in them, down to strings that are equal.
     """
 
-    def __init__(self, limit: int = GROUP_LIMIT):
-        self.limit, self.excess = limit, []
-        self.over = False  # whether the open group is in excess
+    def __init__(self):
         self.last: tuple | None = None  # hash, left, context of the last row
         self.group: list[Member] = []  # first rows of the differing contexts of the last hash
         self.pool: list[Member] = []
@@ -388,21 +389,11 @@ class Decider:
         firsts = np.flatnonzero(~same)
         bounds = np.append(np.flatnonzero(~same_h[firsts]), len(firsts))  # where a new hash begins
         row = lambda i: Member(doc_id[i].as_py(), int(rid[i]), int(start[i]), int(left[i]), context[i].as_py())
-        self.more([row(i) for i in firsts[: bounds[0]].tolist()])
+        self.group += [row(i) for i in firsts[: bounds[0]].tolist()]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield from self.close()
-            self.over = False
             if b - a > 1 or b == len(firsts):
-                self.more([row(i) for i in firsts[a:b].tolist()])
-
-    def more(self, members: list[Member]) -> None:
-        """More members of the open group."""
-        if self.over:
-            self.excess += members
-            return
-        self.group += members
-        if len(self.group) > self.limit:
-            self.excess, self.group, self.over = self.excess + self.group, [], True
+                self.group += [row(i) for i in firsts[a:b].tolist()]
 
     def end(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         yield from self.close()
@@ -495,8 +486,8 @@ class Earliest:
     def __init__(self, most: int = 30_000):
         self.most, self.kept, self.marks = most, {}, []
 
-    def add(self, h: int, doc_id: int | None, rid: int, start: int, left: int, context: bytes) -> None:
-        key, mine = (h, left, context), ((0, 0) if doc_id is None else (1, doc_id), rid, start)
+    def add(self, h: int, doc_id: int | None, rid: int, start: int, left: int, context: bytes, end: int | None = None) -> None:
+        key, mine = (h, left, context, end), ((0, 0) if doc_id is None else (1, doc_id), rid, start)
         held = self.kept.get(key)
         if held is None:
             self.kept[key] = mine
@@ -510,7 +501,7 @@ class Earliest:
             rid, a, b = zip(*self.marks[at : at + 50_000], strict=True)
             none = [None] * len(rid)
             yield self.batch(none, none, rid, a, none, none, b)
-        rows = [(h, d if known else None, r, s, left, context, None) for (h, left, context), ((known, d), r, s) in self.kept.items()]
+        rows = [(h, d if known else None, r, s, left, context, end) for (h, left, context, end), ((known, d), r, s) in self.kept.items()]
         for at in range(0, len(rows), 20_000):
             yield self.batch(*zip(*rows[at : at + 20_000], strict=True))
         self.kept, self.marks = {}, []
@@ -521,7 +512,8 @@ class Earliest:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split(" ")[0] for x in CONTEXTS.split(", ")])
 
 
-#: A context, or with `end` and without h a mark that is settled already.
+#: A context, or without h a mark that is settled already, with its end. Of contexts that are divided, `end` says how many bytes their strings
+#: have before the anchor's gram, least << 7 | most.
 CONTEXTS = "h long, doc_id long, rid long, start long, left long, context binary, end long"
 
 
@@ -548,28 +540,57 @@ def contexts(docs: DataFrame, met: DataFrame) -> DataFrame:
     return beside_texts(docs, met, ["pos", "h"]).mapInArrow(cut, CONTEXTS)
 
 
-#: A mark, or with a context one of a group that is too large for a task.
-DECIDED = "rid long, start long, end long, doc_id long, context binary"
+def part_key(h: int, least: int, most: int, shared: bytes) -> int:
+    """A 64-bit key of the strings of an anchor that have least..most bytes before its gram and share these bytes."""
+    return int.from_bytes(xxhash.xxh3_64_digest(b"%d %d %d " % (h, least, most) + shared), "big", signed=True)
 
 
-def single_strings(found: DataFrame) -> DataFrame:
-    """rid, start, end of strings of over-large groups that occur earlier: each string is dealt out by a 128-bit digest of its bytes."""
+def halved(rows: DataFrame) -> DataFrame:
+    """Contexts cut into two, for the strings with fewer and with more bytes before the anchor's gram, each by a key of what its strings share."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Earliest()
         for batch in batches:
-            keys, at, row = [], [], []
-            for i, (start, context) in enumerate(zip(batch.column("start").to_pylist(), batch.column("context").to_pylist(), strict=True)):
-                n = len(context) - LENGTH + 1
-                keys += [hashlib.blake2b(context[k : k + LENGTH], digest_size=16).digest() for k in range(n)]
-                at += range(start, start + n)
-                row += [i] * n
-            where = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("doc_id").take(where), batch.column("rid").take(where), pa.array(at, pa.int64())], names=["key", "doc_id", "rid", "start"])
+            for h, doc_id, rid, start, left, context, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if h is None:
+                    out.marks.append((rid, start, end))
+                    continue
+                least, most = end >> 7, end & 127
+                last, middle = left - len(context) + LENGTH, (least + most) // 2
+                for a, b in ((least, middle), (middle + 1, most)) if least < most else ((least, most),):
+                    longest, shortest = min(left, b), max(last, a)  # bytes before the gram that strings of this context have
+                    if longest >= shortest:
+                        key = part_key(h, a, b, context[left - a : left + LENGTH - b])
+                        out.add(key, doc_id, rid, start + left - longest, longest, context[left - longest : left - shortest + LENGTH], a << 7 | b)
+            if len(out.kept) >= out.most:
+                yield from out.flush()
+        yield from out.flush()
+
+    return rows.mapInArrow(run, CONTEXTS)
+
+
+def keys_over(rows: DataFrame, limit: int) -> DataFrame:
+    """Those h, as rid, that more than `limit` rows have."""
+    return written(rows.where("h is not null").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > limit).select(F.col("h").alias("rid")), "hot")
 
-    strings = found.mapInArrow(each, "key binary, doc_id long, rid long, start long")
-    firsts = strings.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "start")).alias("first")).where("n > 1")
-    later = join_counted(strings, firsts, "key", "n", strings.count(), "inner").where((F.col("rid") != F.col("first.rid")) | (F.col("start") != F.col("first.start")))
-    return later.select("rid", "start", (F.col("start") + LENGTH).alias("end"))
+
+def divided(docs: DataFrame, met: DataFrame, limit: int) -> DataFrame:
+    """Contexts of anchors that are in too many of them, by halves of halves, until at most `limit` rows share a key, or all their strings are equal.
+
+    Each round reads only what is still too large. The number of rounds follows from LENGTH and GRAM.
+    """
+    own = picked(docs, met.select("rid").distinct(), "left_semi")
+    now = contexts(own, met).withColumn("end", F.when(F.col("h").isNull(), F.col("end")).otherwise(F.lit(LENGTH - GRAM).cast("long")))
+    out = None
+    for _ in range((LENGTH - GRAM).bit_length()):
+        now = written(halved(now), "halves")
+        hot = keys_over(now, limit)
+        if hot.isEmpty():
+            break
+        settled = picked(now, hot, "left_anti", "h").select(*now.columns)  # with the marks, whose h is null
+        out = settled if out is None else out.unionByName(settled)
+        now = picked(now, hot, "left_semi", "h").select(*now.columns)
+    return now if out is None else out.unionByName(now)
 
 
 def marks(docs: DataFrame, limit: int) -> DataFrame:
@@ -578,21 +599,12 @@ def marks(docs: DataFrame, limit: int) -> DataFrame:
     whole = written(copies(docs), "copies")
     rest = picked(docs, whole, "left_anti")
     met = meeting_anchors(rest)
-    around = contexts(rest, met)
+    hot = keys_over(met, limit)
+    around = contexts(rest, met) if hot.isEmpty() else contexts(rest, picked(met, hot, "left_anti", "h")).unionByName(divided(rest, picked(met, hot, "left_semi", "h"), limit))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decider = Decider(limit)
-        names = [x.split(" ")[0] for x in DECIDED.split(", ")]
-
-        def batch_of(rid, a, b) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (rid, a, b)), pa.nulls(len(rid), pa.int64()), pa.nulls(len(rid), pa.binary())], names=names)
-
-        def excess() -> Iterator[pa.RecordBatch]:
-            got, decider.excess = decider.excess, []
-            for i in range(0, len(got), 10_000):
-                part = got[i : i + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([m.rid for m in part], pa.int64()), pa.array([m.start for m in part], pa.int64()), pa.nulls(len(part), pa.int64()), pa.array([m.doc_id for m in part], pa.int64()), pa.array([m.context for m in part], pa.binary())], names=names)
-
+        decider = Decider()
+        batch_of = lambda *spans: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in spans], names=["rid", "start", "end"])
         for batch in batches:
             settled = pc.is_null(batch.column("h"))
             done = batch.filter(settled)
@@ -601,21 +613,17 @@ def marks(docs: DataFrame, limit: int) -> DataFrame:
             if done.num_rows < batch.num_rows:
                 for spans in decider.add(batch.filter(pc.invert(settled))):
                     yield batch_of(*spans)
-                yield from excess()
         for spans in decider.end():
             yield batch_of(*spans)
-        yield from excess()
 
     dealt = around.repartition(F.coalesce("h", "rid")).sortWithinPartitions("h", "left", "context", F.asc_nulls_first("doc_id"), "rid", "start")
-    found = written(dealt.mapInArrow(decide, DECIDED), "decided")
+    found = written(dealt.mapInArrow(decide, "rid long, start long, end long"), "decided")
     dropped(met)
     release(docs.sparkSession)
-    spans = found.where("context is null").select("rid", "start", "end").unionByName(whole.select("rid", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
-    large = found.where("context is not null")
-    return spans if large.isEmpty() else spans.unionByName(single_strings(large))
+    return found.unionByName(whole.select("rid", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
 
 
-def cleaned(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def cleaned(docs: DataFrame, limit: int = HOT_CONTEXTS) -> DataFrame:
     """rid, doc_id, n_bytes, n_removed, n_spans, kept (bytes), and rest if docs has it, of docs with rid, doc_id, text."""
     gone = marks(docs, limit)
     with_rest = "rest" in docs.columns
@@ -662,12 +670,12 @@ def cleaned(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     return beside_texts(docs, gone, ["start", "end"]).mapInArrow(remove, f"rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary{rest}")
 
 
-def remove_repeats(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def remove_repeats(docs: DataFrame, limit: int = HOT_CONTEXTS) -> DataFrame:
     """What is removed from each whole text, and the SHA-256 of what is kept; a row for each row of docs.
 
     docs has doc_id and text; other columns are ignored. Texts are UTF-8 bytes, a null text none. A byte is removed if a string of 100
     bytes that covers it also starts earlier: in a row with a smaller doc_id, or earlier in the same row. Null ids are smaller than
-    all others; of rows with one id the one read first is earlier, so a repeated row of 100 bytes or more is removed whole. Texts of
+    all others; rows with one id are ordered by their places in the files, so a repeated row of 100 bytes or more is removed whole. Texts of
     under 100 bytes are kept. An empty table gives no rows.
     """
     ship(docs.sparkSession)

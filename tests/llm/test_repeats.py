@@ -57,8 +57,8 @@ def test_unique_ids_over_many_partitions(docs_of):
     assert rows_of(repeats.remove_repeats(docs_of(rows).repartition(7))) == plain(rows)
 
 
-@pytest.mark.parametrize("limit", [1, 3])
-def test_large_groups_are_dealt_out_by_string(docs_of, limit):
+@pytest.mark.parametrize("limit", [1, 3, 20])
+def test_anchors_in_many_contexts_are_divided(docs_of, limit):
     rows = passages(7)
     assert rows_of(repeats.remove_repeats(docs_of(rows).coalesce(1), limit)) == plain(rows)
 
@@ -140,3 +140,24 @@ def test_groups_of_any_size_are_decided(monkeypatch, pool, size):
         mark(spans)
     assert sorted(sum(g) for g in gone) == sorted(r[2] for r in plain([(n, t.decode()) for n, t in enumerate(texts)]))
     assert sum(map(sum, gone)) > 5000
+
+
+@pytest.mark.parametrize("length", [60, 90])
+def test_a_common_line_gathers_nowhere(spark, docs_of, monkeypatch, length):
+    """6,000 texts share a line and nothing else: no task gets more than a bounded number of contexts, though each context is another."""
+    r = random.Random(4)
+    word = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    line = word(length)
+    docs = docs_of([(i, f"{word(90)}{line}{word(90)}") for i in range(6000)]).repartition(4)
+    most = []
+    frames = type(docs)
+    real = frames.mapInArrow
+
+    def counted(df, run, schema, *more):
+        if schema == "rid long, start long, end long":
+            most.append(max((x["count"] for x in df.where("h is not null").groupBy("h").count().collect()), default=0))
+        return real(df, run, schema, *more)
+
+    monkeypatch.setattr(frames, "mapInArrow", counted)
+    out = repeats.remove_repeats(docs, 200)
+    assert out.where("n_removed > 0").isEmpty() and out.count() == 6000 and most and max(most) <= 200
