@@ -480,6 +480,11 @@ def beside_texts(docs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFr
     return left.unionByName(right).repartition("rid").sortWithinPartitions("rid", "step", *columns)
 
 
+def part_key(h: int, least: int, most: int, shared: bytes) -> int:
+    """A 64-bit key of the strings of an anchor that have least..most bytes before its gram and share these bytes."""
+    return int.from_bytes(xxhash.xxh3_64_digest(b"%d %d %d " % (h, least, most) + shared), "big", signed=True)
+
+
 class Earliest:
     """Holds back contexts of one task: of equal ones only the earliest goes on, the others are repeats and become marks."""
 
@@ -496,6 +501,15 @@ class Earliest:
             self.kept[key] = first
             self.marks.append((later[1], later[2], later[2] + len(context)))
 
+    def add_halves(self, h: int, doc_id: int | None, rid: int, start: int, left: int, context: bytes, least: int, most: int) -> None:
+        """A context in two, for the strings with fewer and with more bytes before the anchor's gram, each by a key of what its strings share."""
+        last, middle = left - len(context) + LENGTH, (least + most) // 2
+        for a, b in ((least, middle), (middle + 1, most)) if least < most else ((least, most),):
+            longest, shortest = min(left, b), max(last, a)  # bytes before the gram that strings of this context have
+            if longest >= shortest:
+                key = part_key(h, a, b, context[left - a : left + LENGTH - b])
+                self.add(key, doc_id, rid, start + left - longest, longest, context[left - longest : left - shortest + LENGTH], a << 7 | b)
+
     def flush(self) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(self.marks), 50_000):
             rid, a, b = zip(*self.marks[at : at + 50_000], strict=True)
@@ -517,8 +531,8 @@ class Earliest:
 CONTEXTS = "h long, doc_id long, rid long, start long, left long, context binary, end long"
 
 
-def contexts(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """The strings of every meeting anchor as one context: from its first string's start to its last one's end."""
+def contexts(docs: DataFrame, met: DataFrame, halve: bool = False) -> DataFrame:
+    """The strings of every meeting anchor as one context, from its first string's start to its last one's end; or as two halves of it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grow, text, rid, doc_id, z, out = zstandard.ZstdDecompressor(), b"", None, None, None, Earliest()
@@ -532,7 +546,10 @@ def contexts(docs: DataFrame, met: DataFrame) -> DataFrame:
                 if text is None:
                     text = grow.decompress(z)
                 at, lo, hi = unpacked_place(places[i])
-                out.add(hs[i], doc_id, rid, lo, at - lo, text[lo : hi + LENGTH])
+                if halve:
+                    out.add_halves(hs[i], doc_id, rid, lo, at - lo, text[lo : hi + LENGTH], 0, LENGTH - GRAM)
+                else:
+                    out.add(hs[i], doc_id, rid, lo, at - lo, text[lo : hi + LENGTH])
             if len(out.kept) >= out.most:
                 yield from out.flush()
         yield from out.flush()
@@ -540,13 +557,8 @@ def contexts(docs: DataFrame, met: DataFrame) -> DataFrame:
     return beside_texts(docs, met, ["pos", "h"]).mapInArrow(cut, CONTEXTS)
 
 
-def part_key(h: int, least: int, most: int, shared: bytes) -> int:
-    """A 64-bit key of the strings of an anchor that have least..most bytes before its gram and share these bytes."""
-    return int.from_bytes(xxhash.xxh3_64_digest(b"%d %d %d " % (h, least, most) + shared), "big", signed=True)
-
-
 def halved(rows: DataFrame) -> DataFrame:
-    """Contexts cut into two, for the strings with fewer and with more bytes before the anchor's gram, each by a key of what its strings share."""
+    """Parts of contexts cut into two; marks stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Earliest()
@@ -555,13 +567,7 @@ def halved(rows: DataFrame) -> DataFrame:
                 if h is None:
                     out.marks.append((rid, start, end))
                     continue
-                least, most = end >> 7, end & 127
-                last, middle = left - len(context) + LENGTH, (least + most) // 2
-                for a, b in ((least, middle), (middle + 1, most)) if least < most else ((least, most),):
-                    longest, shortest = min(left, b), max(last, a)  # bytes before the gram that strings of this context have
-                    if longest >= shortest:
-                        key = part_key(h, a, b, context[left - a : left + LENGTH - b])
-                        out.add(key, doc_id, rid, start + left - longest, longest, context[left - longest : left - shortest + LENGTH], a << 7 | b)
+                out.add_halves(h, doc_id, rid, start, left, context, end >> 7, end & 127)
             if len(out.kept) >= out.most:
                 yield from out.flush()
         yield from out.flush()
@@ -580,10 +586,9 @@ def divided(docs: DataFrame, met: DataFrame, limit: int) -> DataFrame:
     Each round reads only what is still too large. The number of rounds follows from LENGTH and GRAM.
     """
     own = picked(docs, met.select("rid").distinct(), "left_semi")
-    now = contexts(own, met).withColumn("end", F.when(F.col("h").isNull(), F.col("end")).otherwise(F.lit(LENGTH - GRAM).cast("long")))
-    out = None
+    now, out = contexts(own, met, halve=True), None
     for _ in range((LENGTH - GRAM).bit_length()):
-        now = written(halved(now), "halves")
+        now = written(halved(now) if out is not None else now, "halves")
         hot = keys_over(now, limit)
         if hot.isEmpty():
             break
