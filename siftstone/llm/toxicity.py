@@ -3,9 +3,10 @@
 One model is learnt from toxic, one from ordinary labelled documents. Both are over the bytes of words, ORDER bytes at a time, so that a
 word stem counts in every inflection. The highest order holds each class's own counts with an absolute discount; what is
 discounted goes to lower orders of continuation counts that both classes share, so a rare expression moves the
-comparison little. A word's evidence is the difference of its two log-likelihoods. A document's is their
-sum normalised by its length, beside the same over its most toxic passage of one and of three words; a small logistic function of
-these, fitted on labelled documents that the models have not seen, gives the score.
+comparison little. A word's evidence is the difference of its two log-likelihoods. A language or a topic that is more frequent in one class moves all words of a text
+alike, so evidence counts by how far it exceeds that of the text's median word, and noise of less than MARGIN counts as none. A document's evidence is
+the sum of this normalised by its length, beside the plain evidence of its most toxic passage of one and of three words; a small logistic function
+of these, fitted on labelled documents that the models have not seen, gives the score.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 #: Labelled documents of each class that are learnt from, at most; those with the smallest hashes of doc_id are taken.
 SAMPLE = 6000
-#: Word types of the sample that the models hold, at most; the ones in most documents stay.
-TYPES = 600_000
 #: Bytes of an n-gram (8 fit a machine word) and the orders of the shared backoff.
 ORDER, SHARED_ORDERS = 8, (5, 3, 2)
 DISCOUNT = 0.75
+#: Log-likelihood ratio beyond the text's median from which on a word counts.
+MARGIN = 1.0
 #: Of the sample, one document in so many is kept from the models and fits the logistic function.
 FIT_ONE_IN = 3
 THRESHOLD = 0.3
@@ -130,7 +131,7 @@ class Scorer:
         self.model, self.weights, self.known = model, weights, {}
 
     def features(self, batch: list[str]) -> np.ndarray:
-        """Of each text: 1, log-likelihood ratio a word, of the most toxic three words and word."""
+        """Of each text: 1, log-likelihood ratio a word beyond median and margin, ratio of the most toxic three words and word."""
         read = [words(t) for t in batch]
         if len(self.known) > CACHE:
             self.known = {}
@@ -144,7 +145,7 @@ class Scorer:
             if ws:
                 e = np.array([self.known[w] for w in ws])
                 k = min(3, len(e))
-                row[1:] = e.mean(), np.partition(e, len(e) - k)[-k:].mean(), e.max()
+                row[1:] = np.maximum(e - np.median(e) - MARGIN, 0).mean(), np.partition(e, len(e) - k)[-k:].mean(), e.max()
         return out
 
     def __call__(self, batch: list[str]) -> np.ndarray:
@@ -180,7 +181,8 @@ def learn(docs: DataFrame, labels: DataFrame, mod: int, out: int, sample: int =
         part = marked.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.withColumn("fits", F.pmod(F.xxhash64("doc_id"), F.lit(101)) % FIT_ONE_IN == 0)
-    taken = docs.join(F.broadcast(chosen), "doc_id")  # 2 * sample rows at most
+    # of several rows of one id the smallest text, so 2 * sample rows at most
+    taken = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("fits").alias("fits"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = {}
@@ -192,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, mod: int, out: int, sample: int =
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([n[0] for n in seen.values()], pa.int64()), pa.array([n[1] for n in seen.values()], pa.int64())], names=["word", "t", "o"])
 
     types = taken.where(~F.col("fits")).select("text", "toxic").mapInArrow(count, "word binary, t long, o long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    got = types.orderBy(F.desc(F.col("t") + F.col("o")), "word").limit(TYPES).toArrow()
+    got = types.toArrow()  # words of the sample's documents
     model = KneserNey([bytes(w) for w in got["word"].to_pylist()], got["t"].to_numpy(), got["o"].to_numpy())
     shared = spark.sparkContext.broadcast(model)
 
@@ -216,7 +218,7 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 4, out: int = 2) -> Dat
 
     docs has doc_id and text, labels has doc_id and toxic (0, 1; other values and nulls are ignored; of several labels of one id the
     largest counts); other columns are ignored. Learns from rows of labels whose crc32(doc_id as text) mod `mod` isn't `out`, at most
-    SAMPLE of each class. A null text is empty and has the score of no evidence. A null doc_id stays null and is in no class. Repeated
+    SAMPLE of each class, chosen by a hash of doc_id (of several documents of one id the smallest text); this bound on labelled rows is the only one. A null text is empty and has the score of no evidence. A null doc_id stays null and is in no class. Repeated
     rows give repeated rows; an empty table gives no rows. Unless both classes have labelled rows, every score is 0. The pass
     over docs is narrow.
     """

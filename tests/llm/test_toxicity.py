@@ -64,3 +64,56 @@ def test_evidence_of_stems():
     k = toxicity.KneserNey(ws, np.array([9] * 6 + [3] * 6), np.array([0] * 6 + [9] * 6))
     bad, plain, new = k.evidence([b"badwordzz", b"plaina", b"qqq"])
     assert bad > 2 > 0.5 > plain and abs(new) < bad
+
+
+def plain_evidence(types, word):
+    """By definition, with dictionaries: types is {word: (toxic, ordinary) documents}."""
+    order, shared, d = toxicity.ORDER, sorted(toxicity.SHARED_ORDERS), toxicity.DISCOUNT
+    grams_of = lambda w: [(b"\0" * order + w + b" ")[i + 1 : i + 1 + order] for i in range(len(w) + 1)]
+    own, kinds = {}, set()
+    for w, counts in types.items():
+        for g in grams_of(w):
+            kinds.add(g)
+            for c in (0, 1):
+                own[g, c] = own.get((g, c), 0) + counts[c]
+
+    def backoff(g):
+        p = 1 / 256
+        for m in shared:
+            longer = {k[-m - 1 :] for k in kinds}
+            followers = [k[1:] for k in longer if k[1:-1] == g[-m:-1]]
+            if followers:
+                p = (max(followers.count(g[-m:]) - d, 0) + d * len(set(followers)) * p) / len(followers)
+        return p
+
+    logs = [0.0, 0.0]
+    for g in grams_of(word):
+        p = backoff(g)
+        for c in (0, 1):
+            after = {k: own[k, c] for k in kinds if k[:-1] == g[:-1]}
+            total, seen = sum(after.values()), sum(v > 0 for v in after.values())
+            logs[c] += math.log((max(own.get((g, c), 0) - d, 0) + d * seen * p) / total if total else p)
+    return logs[0] - logs[1]
+
+
+def test_evidence_equals_brute_force():
+    types = {b"idiot": (5, 0), b"idiots": (2, 1), b"ideal": (0, 4), b"plain": (3, 7), b"aaaaaaaaaaaa": (1, 1), "grün".encode(): (0, 2), b"x": (1, 0)}
+    k = toxicity.KneserNey(list(types), *(np.array([n[c] for n in types.values()]) for c in (0, 1)))
+    asked = [*types, b"idio", b"unseen", b"aaaaaaaaaaaaaaaaab", b"plainly"]
+    assert np.allclose(k.evidence(asked), [plain_evidence(types, w) for w in asked], atol=1e-5)
+    weights = np.array([-1.0, 2.0, 0.5, 0.25])
+    text = "Idiot plain, ideal! plainly GRÜN"
+    e = np.array([plain_evidence(types, w) for w in (b"idiot", b"plain", b"ideal", b"plainly", "grün".encode())])
+    x = np.array([1, np.maximum(e - np.median(e) - toxicity.MARGIN, 0).mean(), np.sort(e)[-3:].mean(), e.max()]) @ weights
+    assert np.isclose(toxicity.Scorer(k, weights)([text])[0], 1 / (1 + math.exp(-x)), atol=1e-5)
+
+
+def test_the_length_normalised_ratio_alone_tells_held_out_rows_apart(scored):
+    _, labels, docs = scored
+    scorer = toxicity.learn(docs, labels.select("doc_id", "toxic"), 4, 2)
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).select("text", "toxic").toPandas()
+    ratio = scorer.features(rows.text.fillna("").tolist())[:, 1]
+    rank = np.empty(len(ratio))
+    rank[np.argsort(ratio, kind="stable")] = np.arange(len(ratio))
+    toxic = (rows.toxic == 1).to_numpy()
+    assert (rank[toxic].mean() - (toxic.sum() - 1) / 2) / (~toxic).sum() >= 0.95
