@@ -14,8 +14,8 @@ SIGNALS = ("bm25", "vector", "path", "symbol")
 STRONG_PATH, WEAK_PATH, SYMBOL, VECTOR = 4.5, 1.5, 2.0, 3.0
 
 
-def signal(rows: DataFrame, name: str, score: Column, similarity: Column | None = None, key: str = "chunk_id") -> DataFrame:
-    return rows.select(key, F.lit(SIGNALS.index(name)).alias("signal"), score.cast("double").alias("score"), (F.lit(None) if similarity is None else similarity).cast("double").alias("similarity"))
+def signal(rows: DataFrame, name: str, score: Column, similarity: Column | None = None, key: str | list[str] = "chunk_id") -> DataFrame:
+    return rows.select(*keys(key), F.lit(SIGNALS.index(name)).alias("signal"), score.cast("double").alias("score"), (F.lit(None) if similarity is None else similarity).cast("double").alias("similarity"))
 
 
 def path_score(path: Column, query: str, tokens: list[str]) -> Column:
@@ -37,12 +37,16 @@ def scans_paths(query: str, tokens: list[str]) -> bool:
     return bool(tokens) or len(query.strip()) >= 3
 
 
-def fused(signals: list[DataFrame], key: str = "chunk_id") -> DataFrame:
-    """key, score (sum), reasons (names in fixed order), similarity (the largest)."""
+def keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else key
+
+
+def fused(signals: list[DataFrame], key: str | list[str] = "chunk_id") -> DataFrame:
+    """key (one column or some that go together), score (sum), reasons (names in fixed order), similarity (the largest)."""
     rows = reduce(DataFrame.unionByName, signals)
     names = F.array(*map(F.lit, SIGNALS))
     reasons = F.transform(F.array_sort(F.collect_set("signal")), lambda i: F.get(names, i))
-    return rows.groupBy(key).agg(F.sum("score").alias("score"), reasons.alias("reasons"), F.max("similarity").alias("similarity"))
+    return rows.groupBy(*keys(key)).agg(F.sum("score").alias("score"), reasons.alias("reasons"), F.max("similarity").alias("similarity"))
 
 
 def low_confidence(reasons: Column, similarity: Column, least: float) -> Column:

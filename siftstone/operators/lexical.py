@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import fts_tokens
@@ -54,6 +56,44 @@ def phrase_counts(postings: DataFrame, phrases: list[list[str]], key: str = "chu
     return starts.where(F.col("met") == F.col("size")).groupBy(key, "phrase").agg(F.count("*").alias("f"))
 
 
+def phrases_within(docs: DataFrame, fields: list[str], phrases: list[list[str]]) -> DataFrame:
+    """docs with doc_len (tokens of all fields) and f (how often each phrase stands in them, tokens consecutive in one field). Narrow: each row is read once."""
+    terms = sorted({t for p in phrases for t in p})
+    read = docs.withColumn("__tokens", F.array(*[fts_tokens(F.coalesce(F.col(c), F.lit(""))) for c in fields]))
+    read = read.withColumn("__wanted", F.transform("__tokens", lambda tokens: F.filter(tokens, lambda t: t.isin(terms))))
+
+    def times(phrase: list[str]) -> Column:
+        def within(tokens: Column, wanted: Column) -> Column:
+            if len(phrase) == 1:
+                return F.size(F.filter(wanted, lambda t: t == phrase[0]))
+            begins = F.filter(tokens, lambda t, i: reduce(lambda a, b: a & b, [t == phrase[0], *[F.get(tokens, i + k) == x for k, x in enumerate(phrase) if k]]))
+            return F.when(reduce(lambda a, b: a & b, [F.array_contains(wanted, x) for x in phrase]), F.size(begins)).otherwise(0)
+
+        return reduce(lambda a, b: a + b, [within(F.get("__tokens", n), F.get("__wanted", n)) for n in range(len(fields))])
+
+    lengths = reduce(lambda a, b: a + b, [F.size(F.get("__tokens", n)) for n in range(len(fields))])
+    return read.withColumn("doc_len", lengths).withColumn("f", F.array(*map(times, phrases)).cast("array<int>")).drop("__tokens", "__wanted")
+
+
+def scored(docs: DataFrame, fields: list[str], phrases: list[list[str]], keep: list[str]) -> DataFrame:
+    """keep, bm25 of the rows that hold a phrase, by one pass over docs and no shuffle.
+
+    The pass counts rows, tokens and the rows that hold each phrase on its way, and keeps (spilling to disk) only the rows that match.
+    """
+    seen = Observation()
+    counts = [F.count_if(F.get("f", n) > 0).alias(f"p{n}") for n in range(len(phrases))]
+    read = phrases_within(docs, fields, phrases).select(*keep, "doc_len", "f").observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("tokens"), *counts)
+    rows = read.where(F.exists("f", lambda x: x > 0)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows.count()
+    corpus = Corpus(seen.get["rows"], seen.get["tokens"])
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("doc_len").cast("double") / F.lit(corpus.average or 1.0))
+    total = F.lit(0.0)
+    for n in range(len(phrases)):
+        f = F.get("f", n).cast("double")
+        total = total + F.lit(float(idf(corpus.rows, seen.get[f"p{n}"]))) * f * F.lit(K1 + 1) / (f + norm)
+    return rows.select(*keep, (-total).alias("bm25"))
+
+
 def idf(rows: int, holding: int) -> float:
     weight = math.log((rows - holding + 0.5) / (holding + 0.5)) if rows else 0.0
     return weight if weight > 0 else LEAST_IDF

@@ -9,16 +9,15 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NAME, DOLLAR_NAME = r"([A-Za-z_]\w*)", r"([A-Za-z_$][\w$]*)"
-#: Definition patterns in their order, at a line's start behind white space, and their kinds.
+#: Definition patterns in their order, each at a line's start behind white space, and their kinds.
 PATTERNS = [
-    (rf"class\s+{NAME}", "class"),
-    (rf"def\s+{NAME}", "function"),
-    (rf"(?:export\s+)?(?:async\s+)?function\s+{DOLLAR_NAME}", "function"),
-    (rf"(?:export\s+)?class\s+{DOLLAR_NAME}", "class"),
-    (rf"(?:export\s+)?(?:const|let|var)\s+{DOLLAR_NAME}\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>", "function"),
-    (rf"func\s+{NAME}", "function"),
-    (rf"(?:pub\s+)?fn\s+{NAME}", "function"),
+    (r"class\s+([A-Za-z_]\w*)", "class"),
+    (r"def\s+([A-Za-z_]\w*)", "function"),
+    (r"(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)", "function"),
+    (r"(?:export\s+)?class\s+([A-Za-z_$][\w$]*)", "class"),
+    (r"(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>", "function"),
+    (r"func\s+([A-Za-z_]\w*)", "function"),
+    (r"(?:pub\s+)?fn\s+([A-Za-z_]\w*)", "function"),
 ]
 _COMPILED = [(re.compile(rf"^\s*{p}", re.MULTILINE), kind) for p, kind in PATTERNS]
 

@@ -149,8 +149,11 @@ def kind_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = lexical.postings_of(doc_files(spark, sf_dir), "doc_id", ["path", "content"])
-    return posts.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("df"))
+    """Each term with its occurrences and the documents that hold it: in a document's sorted tokens the first of equal ones counts for the document."""
+    both = F.array_sort(F.concat(text.fts_tokens(F.coalesce("path", F.lit(""))), text.fts_tokens(F.coalesce("content", F.lit("")))))
+    rows = doc_files(spark, sf_dir).select(both.alias("t"))
+    marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).cast("long").alias("first")))
+    return rows.select(F.inline(marked)).groupBy("term").agg(F.count("*").alias("n"), F.sum("first").alias("df"))
 
 
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,15 +167,8 @@ def terms_of(phrases: list[list[str]]) -> set[str]:
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, bm25 and the chunk's place for the words."""
-    c = doc_chunks(spark, sf_dir)
-    phrases = query_phrases(WORDS)
-    posts = lexical.postings_of(c, "chunk_id", ["path", "content"], terms_of(phrases))
-    length = F.size(text.fts_tokens(F.col("path"))) + F.size(text.fts_tokens(F.col("content")))
-    lengths = c.select(*REPO_TIES, length.alias("doc_len"))
-    n, tokens = lengths.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
-    corpus, counts = lexical.Corpus(n, tokens), lexical.phrase_counts(posts, phrases)
-    scored = lexical.bm25(counts, lengths, corpus, lexical.phrase_weights(counts, corpus, phrases))
-    return scored.select("chunk_id", F.round("bm25", 6).alias("bm25")).join(lengths.select(*REPO_TIES), "chunk_id")
+    found = lexical.scored(doc_chunks(spark, sf_dir), ["path", "content"], query_phrases(WORDS), REPO_TIES)
+    return found.withColumn("bm25", F.round("bm25", 6))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,28 +201,30 @@ def path_symbol_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """bm25 ranks, cosines and paths of doc chunks, keyed by chunk."""
+    """bm25 ranks, cosines and paths of doc chunks, keyed by chunk and its place. Files are filtered before they are cut into chunks."""
     ranked = lexical.top_ranked(_bm25(spark, sf_dir), ["bm25", *REPO_TIES], 100)
-    near = vector.cosine_scan(with_vectors(spark, sf_dir), _query_vector(spark, sf_dir))
-    c = doc_chunks(spark, sf_dir).select("chunk_id", "path")
+    files, e = doc_files(spark, sf_dir), read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    near = vector.cosine_scan(chunking.line_windows(files.join(e, "doc_id"), WINDOW, OVERLAP), _query_vector(spark, sf_dir))
     score = fusion.path_score(F.col("path"), WORDS, query_tokens(WORDS))
-    return [fusion.signal(ranked, "bm25", lexical.rank_score(F.col("rank"))), fusion.signal(near, "vector", F.lit(3.0) * F.col("similarity"), F.col("similarity")), fusion.signal(c.where(score > 0), "path", score)]
+    named = chunking.line_windows(files.where(score > 0), WINDOW, OVERLAP)
+    signal = lambda *x: fusion.signal(*x, key=REPO_TIES)
+    return [signal(ranked, "bm25", lexical.rank_score(F.col("rank"))), signal(near, "vector", F.lit(3.0) * F.col("similarity"), F.col("similarity")), signal(named, "path", score)]
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fusion.fused(_signals(spark, sf_dir)).withColumn("score", F.round("score", 4)).join(doc_chunks(spark, sf_dir).select(*REPO_TIES), "chunk_id")
+    rows = fusion.fused(_signals(spark, sf_dir), REPO_TIES).withColumn("score", F.round("score", 4))
     best = rows.orderBy(F.desc("score"), *REPO_TIES).limit(20)
     return best.select("chunk_id", "repo", "path", "start_line", "score", F.array_join("reasons", "+").alias("score_reason"), F.round("similarity", 4).alias("vector_similarity"))
 
 
 def low_confidence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fusion.fused(_signals(spark, sf_dir)).withColumn("similarity", F.round("similarity", 4))
+    rows = fusion.fused(_signals(spark, sf_dir), REPO_TIES).withColumn("similarity", F.round("similarity", 4))
     return rows.groupBy(fusion.low_confidence(F.col("reasons"), F.col("similarity"), 0.3).alias("low_confidence"), F.array_join("reasons", "+").alias("score_reason")).agg(F.count("*").alias("n"))
 
 
 def search_with_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters on path and language after fusion, before the limit."""
-    rows = fusion.fused(_signals(spark, sf_dir)).withColumn("score", F.round("score", 4)).join(doc_chunks(spark, sf_dir).select(*REPO_TIES), "chunk_id")
+    rows = fusion.fused(_signals(spark, sf_dir), REPO_TIES).withColumn("score", F.round("score", 4))
     kept = rows.where(text.matches_glob(F.col("path"), "*/fr/*")).where(F.lower(text.path_language(F.col("path"))) == "fr")
     return kept.orderBy(F.desc("score"), *REPO_TIES).limit(10).select("chunk_id", "path", "start_line", "score")
 

@@ -90,11 +90,10 @@ class Engine:
         if not root.is_dir():
             raise ValueError(f"repo path is not a directory: {root}")
         now = utc_now()
-        manifest = self.init()
-        repo = self.resolve(manifest, str(root), name, now)
-        manifest = manifest.with_repo(repo)
-        self.store.commit(manifest)
-        scratch = f"{self.path}/tmp/{repo.repo_id}-{repo.version + 1}"
+        self.init()
+        manifest = self.store.update(lambda m: m.with_repo(self.resolve(m, str(root), name, now)))
+        repo = manifest.by_path(str(root))
+        scratch = f"{self.path}/tmp/{repo.repo_id}-{manifest.number}"
         try:
             return self._index(manifest, repo, root, now, scratch)
         finally:
@@ -127,18 +126,23 @@ class Engine:
             else:
                 vectors = self.spark.createDataFrame([], ingest.EMBEDDED)
             staged = texts.drop("repo").join(files, "path").join(vectors.select("path", "vectors"), "path", "left")
-            repo = self._publish(repo, old, ingest.rows_of(staged, now), actions, result)
+            repo = self._publish(repo, manifest.number, old, ingest.rows_of(staged, now), actions, result)
         dim, model, backend = identity_of(self.embedder)
         settings |= {k: v for k, v in (("embed_model", model), ("embed_backend", backend)) if v is not None}
-        latest = self.store.manifest()
-        self.store.commit(replace(latest.with_repo(repo), settings=settings))  # last, so that an interrupted run is done again
-        if repo.version > 1:
-            self.store.drop(repo, repo.version - 1)
+        begun = manifest.by_path(repo.path).version
+
+        def ended(latest: Manifest) -> Manifest:
+            now = latest.by_path(repo.path)
+            if now is None or now.version != begun:
+                raise RuntimeError(f"{repo.name} was changed by another run")
+            return replace(latest.with_repo(repo), settings=latest.settings | settings)
+
+        self.store.update(ended)  # last, so that an interrupted run is done again
+        self.store.prune(repo)
         return result
 
-    def _publish(self, repo: Repo, old: dict[str, DataFrame], new: ingest.NewRows, actions: DataFrame, result: dict) -> Repo:
+    def _publish(self, repo: Repo, version: int, old: dict[str, DataFrame], new: ingest.NewRows, actions: DataFrame, result: dict) -> Repo:
         """Write the next version's tables: what stays of the old ones and the new rows."""
-        version = repo.version + 1
         stays = actions.where(F.col("action").isin("unchanged", "skipped")).select("path")
         kept_chunks = old["chunks"].join(stays, "path", "left_semi")
         buckets = self.options.posting_buckets
@@ -173,7 +177,7 @@ class Engine:
         if not name:
             raise ValueError("a repo name is needed")
         (repo,) = self.known(manifest, name)
-        self.store.commit(manifest.without(repo))
+        self.store.update(lambda m: m.without(repo))
         self.store.drop(repo)
         return {"repo": name, "deleted_files": repo.files}
 

@@ -16,12 +16,62 @@ from pyspark.sql import functions as F
 IGNORE_FILES = (".gitignore", ".augmentignore", ".indexignore")
 #: Directories that are never entered.
 SKIPPED_DIRS = frozenset(
-    ".git .hg .svn .venv venv .cache .gradle .turbo node_modules vendor __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox .idea .next .nuxt dist build target coverage".split()
-)
-#: Names of files that hold secrets or pinned versions, and endings of key files.
-SKIPPED_NAMES = frozenset(
-    ".netrc .pgpass .htpasswd id_rsa id_dsa id_ecdsa id_ed25519 .env .envrc uv.lock package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock poetry.lock Pipfile.lock Gemfile.lock composer.lock go.sum".split()
-)
+    {
+        ".git",
+        ".hg",
+        ".svn",
+        ".venv",
+        "venv",
+        ".cache",
+        ".gradle",
+        ".turbo",
+        "node_modules",
+        "vendor",
+        "__pycache__",
+        ".mypy_cache",
+        ".pytest_cache",
+        ".ruff_cache",
+        ".tox",
+        ".idea",
+        ".next",
+        ".nuxt",
+        "dist",
+        "build",
+        "target",
+        "coverage",
+    }
+)
+#: Names of files that hold secrets.
+SECRET_NAMES = frozenset(
+    {
+        ".netrc",
+        ".pgpass",
+        ".htpasswd",
+        "id_rsa",
+        "id_dsa",
+        "id_ecdsa",
+        "id_ed25519",
+        ".env",
+        ".envrc",
+    }
+)
+#: Names of files that pin versions.
+LOCK_NAMES = frozenset(
+    {
+        "uv.lock",
+        "package-lock.json",
+        "yarn.lock",
+        "pnpm-lock.yaml",
+        "Cargo.lock",
+        "poetry.lock",
+        "Pipfile.lock",
+        "Gemfile.lock",
+        "composer.lock",
+        "go.sum",
+    }
+)
+SKIPPED_NAMES = SECRET_NAMES | LOCK_NAMES
+#: How the names of other files that hold secrets begin and end.
 SKIPPED_PREFIX = ".env."
 SKIPPED_ENDINGS = (".pem", ".key", ".p12", ".pfx", ".der", ".jks", ".keystore", ".ppk")
 SNIFFED = 4096

@@ -1,11 +1,17 @@
-"""The stored index: versioned Parquet tables, a folder for each repository, and one manifest that a run swaps at its end.
+"""The stored index: versioned Parquet tables, a folder for each repository, and numbered manifests of which the last one counts.
 
-A reader sees whole versions only. A run that fails leaves the manifest, and so the index, as it was.
+A run ends by renaming a new manifest to the next number. No manifest is ever replaced: a reader sees whole versions only, a run that fails or
+stops anywhere leaves the index as it was, and of two runs that end with the same number one fails. Versions that the last manifest no longer
+names stay until the KEPT manifests that name them are gone, for readers that are still at it.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import uuid
+from collections.abc import Callable
+from contextlib import suppress
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +20,10 @@ from pyspark.sql import functions as F
 from siftstone.schemas import TABLES
 
 
+#: Manifests that are kept, the last one included.
+KEPT = 3
+
+
 @dataclass(frozen=True)
 class Repo:
     repo_id: int
@@ -33,6 +43,8 @@ class Manifest:
     repos: tuple[Repo, ...] = ()
     settings: dict[str, str] = field(default_factory=dict)
     next_id: int = 1
+    #: Number of the stored manifest that this one was made from; 0 for none.
+    number: int = 0
 
     def by_name(self, name: str) -> Repo | None:
         return next((r for r in self.repos if r.name == name), None)
@@ -60,29 +72,59 @@ class Store:
     def init(self) -> None:
         self._fs.mkdirs(self._path(f"{self.path}/tables"))
 
-    # the manifest
+    # the manifests
 
-    def manifest(self) -> Manifest:
-        at = self._path(f"{self.path}/manifest.json")
+    def numbers(self) -> list[int]:
+        """Numbers of the manifests there are, ascending."""
+        at = self._path(f"{self.path}/manifests")
         if not self._fs.exists(at):
-            return Manifest()
-        stream = self._fs.open(at)
+            return []
+        names = [str(f.getPath().getName()) for f in self._fs.listStatus(at)]
+        return sorted(int(n.removesuffix(".json")) for n in names if re.fullmatch(r"[0-9]+[.]json", n))
+
+    def manifest(self) -> Manifest:
+        found = self.numbers()
+        return self._read(found[-1]) if found else Manifest()
+
+    def _read(self, number: int) -> Manifest:
+        stream = self._fs.open(self._path(f"{self.path}/manifests/{number:012d}.json"))
         try:
             said = json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        return Manifest(tuple(Repo(**r) for r in said["repos"]), said["settings"], said["next_id"])
-
-    def commit(self, manifest: Manifest) -> None:
-        """Write beside the manifest, then rename over it."""
-        new, at = self._path(f"{self.path}/_manifest.new"), self._path(f"{self.path}/manifest.json")
-        stream = self._fs.create(new, True)
+        return Manifest(tuple(Repo(**r) for r in said["repos"]), said["settings"], said["next_id"], number)
+
+    def commit(self, manifest: Manifest) -> Manifest:
+        """Write the manifest aside, then rename it to the number after the one that it was made from; FileExistsError if another run was first."""
+        self._fs.mkdirs(self._path(f"{self.path}/manifests"))
+        number = manifest.number + 1
+        new, at = self._path(f"{self.path}/manifests/_new-{uuid.uuid4().hex}"), self._path(f"{self.path}/manifests/{number:012d}.json")
+        stream = self._fs.create(new, False)
         stream.write(bytearray(json.dumps({"repos": [asdict(r) for r in manifest.repos], "settings": manifest.settings, "next_id": manifest.next_id}).encode()))
         stream.close()
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        if not self._fs.rename(new, at):
-            raise OSError(f"the manifest in {self.path} could not be replaced")
+        if self._fs.exists(at) or not self._fs.rename(new, at):
+            self._fs.delete(new, False)
+            raise FileExistsError(f"another run has changed the index in {self.path}")
+        for old in self.numbers()[:-KEPT]:
+            self._fs.delete(self._path(f"{self.path}/manifests/{old:012d}.json"), False)
+        return replace(manifest, number=number)
+
+    def update(self, change: Callable[[Manifest], Manifest], tries: int = 20) -> Manifest:
+        """Commit a change of the last manifest; made anew from the next one if another run commits first."""
+        for _ in range(tries - 1):
+            with suppress(FileExistsError):
+                return self.commit(change(self.manifest()))
+        return self.commit(change(self.manifest()))
+
+    def prune(self, repo: Repo) -> None:
+        """Delete versions of a repository before its present one that no manifest names any more."""
+        named = {r.version for n in self.numbers() for r in self._read(n).repos if r.repo_id == repo.repo_id}
+        for table in TABLES:
+            at = self._path(f"{self.path}/tables/{table}/repo_id={repo.repo_id}")
+            for f in self._fs.listStatus(at) if self._fs.exists(at) else ():
+                version = int(str(f.getPath().getName()).removeprefix("version="))
+                if version < repo.version and version not in named:
+                    self._fs.delete(f.getPath(), True)
 
     # tables
 
@@ -107,8 +149,7 @@ class Store:
         out = rows.write.mode("overwrite")
         (out.partitionBy(partition) if partition else out).parquet(self.folder(table, repo, version))
 
-    def drop(self, repo: Repo, version: int | None = None) -> None:
-        """Delete a version's folders, or all of a repository's."""
+    def drop(self, repo: Repo) -> None:
+        """Delete all versions of a repository."""
         for table in TABLES:
-            at = self.folder(table, repo, version) if version is not None else f"{self.path}/tables/{table}/repo_id={repo.repo_id}"
-            self._fs.delete(self._path(at), True)
+            self._fs.delete(self._path(f"{self.path}/tables/{table}/repo_id={repo.repo_id}"), True)
