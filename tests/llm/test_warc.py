@@ -73,14 +73,26 @@ def test_files_roll_and_are_the_same_again(spark, sf, tmp_path, small_shards):
 
 
 def test_the_same_rows_give_the_same_bytes(spark, tmp_path):
-    rows = frame(spark, [r for r in ODD if r[0] is not None and r[0] != 9])
-    rows.write.parquet(str(tmp_path / "p"))
-    for name in "ab":
-        warc.write(spark.read.parquet(str(tmp_path / "p")), (tmp_path / name).as_uri())
+    """However they are dealt out, rows that are equal in everything among them."""
+    rows = frame(spark, [*ODD, *ODD, *ODD[:3]])
+    for name, n in (("a", 1), ("b", 4)):
+        rows.repartition(n).write.parquet(str(tmp_path / f"p{name}"))
+        warc.write(spark.read.parquet(str(tmp_path / f"p{name}")), (tmp_path / name).as_uri())
     files = sorted(p.name for p in (tmp_path / "a").glob("*.gz"))
     assert files and all((tmp_path / "a" / f).read_bytes() == (tmp_path / "b" / f).read_bytes() for f in files)
 
 
+@pytest.mark.parametrize("least", [0, 5])
+def test_hot_ids_and_equal_rows_are_split(spark, monkeypatch, tmp_path, least):
+    monkeypatch.setattr(warc, "SHARD_BYTES", 5000)
+    monkeypatch.setattr(warc, "COPIES", 7)
+    monkeypatch.setattr(warc, "SENT", 2)
+    rows = [(7, "u", "same")] * 60 + [(None, f"u{i}", f"page {i}") for i in range(40)] + [(i, "v", "same") for i in range(5)] + ODD
+    folder = (tmp_path / "w").as_uri()
+    files = warc.write(frame(spark, rows).repartition(3), folder, least).collect()
+    assert len({f.shard for f in files}) > 8 and rows_of(warc.read(spark, folder)) == plain(rows, least)
+
+
 def test_the_format(spark, tmp_path):
     warc.write(frame(spark, ODD[:3]), (tmp_path / "w").as_uri())
     (file,) = (tmp_path / "w").glob("*.gz")
@@ -101,6 +113,10 @@ def test_damage_is_noticed(spark, tmp_path):
     file.write_bytes(b"".join(gzip.compress(m.replace(b"same", b"fame")) for m in members))
     with pytest.raises(Exception, match="doesn't fit"):
         warc.read(spark, folder).collect()
+    revisit = next(m for m in members if b"WARC-Type: revisit" in m)
+    file.write_bytes(b"".join(gzip.compress(m.replace(b"sha1:", b"sha1:A", 1) if m is revisit else m) for m in members))
+    with pytest.raises(Exception, match="doesn't fit its response"):
+        warc.read(spark, folder).collect()
     file.write_bytes(data[:-30])
     with pytest.raises(Exception, match="ends within"):
         warc.read(spark, folder).collect()
