@@ -34,6 +34,8 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha25
 SPACE = r"[\t-\r \x85\xa0  -     　]+"
 #: Encoded chunks that a worker keeps, and the longest that it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+#: States of the transducer that a worker keeps.
+STATES = 400_000
 
 
 @lru_cache(4)
@@ -53,6 +55,30 @@ def ranges(category: str) -> str:
     return "".join(out)
 
 
+class Kept(dict):
+    """What a worker keeps, in two generations: when the young one is full it becomes the old one, and what is asked for again becomes young."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most // 2, {}
+
+    def __missing__(self, key):
+        """The old value made young, or None."""
+        known = self.old.get(key)
+        if known is not None:
+            self.put(key, known)
+        return known
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            super().clear()
+        self[key] = value
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
+
 class Merges:
     """A merge list over symbols; gives the last tokens of prefixes and tells which pairs of tokens stand."""
 
@@ -67,6 +93,8 @@ class Merges:
         self.endings = {t[i:]: False for t in self.parts for i in range(self.width[t])}
         self.endings |= {t: True for t in vocab if self.merged(self.split(t)) == [t]}
         self.stands = lru_cache(1 << 18)(self._stands)
+        #: The transducer's states: the last token of the encoding of each prefix of words that it has met.
+        self.states: dict[str, str | None] = {}
 
     def _symbols(self, token: str) -> int:
         return len(token) - len(self.end) if self.end and token.endswith(self.end) and len(token) > len(self.end) else len(token)
@@ -102,33 +130,47 @@ class Merges:
         window: list[str] = []
         tail: list[str | None] = [None]
         before: str | None = None  # the last emitted token
-        endings, stands, lookahead = self.endings, self.stands, self.lookahead
+        most, states, prefix = 2 * self.lookahead, self.states, ""
         for s in symbols:
             window.append(s)
-            start = len(window) - 1
-            least, token, tokens = max(0, start + 1 - lookahead), s, []
-            while (own := endings.get(token)) is not None:  # else no token ends with this, so none with more
-                if own:
-                    tokens.append((start, token))
-                if start == least:
-                    break
-                start -= 1
-                token = window[start] + token
-            found = None
-            while tokens:  # the longest first
-                start, token = tokens.pop()
-                left = tail[start] if start else before
-                if (start == 0 and before is None) or (left is not None and stands(left, token)):
-                    found = token
-                    break
+            if before is None:
+                prefix += s
+                found = states.get(prefix, states)
+                if found is states:
+                    found = self._last(window, tail, None)
+                    if len(s) == 1:  # not a word's end; words are kept by those who ask for them
+                        if len(states) >= STATES:
+                            states.clear()
+                        states[prefix] = found
+            else:
+                found = self._last(window, tail, before)
             tail.append(found)
-            if len(tail) > 2 * lookahead:
+            if len(tail) > most:
                 yield from (done := self._stable(tail))
                 if done:
                     cut, before = sum(self.width[t] for t in done), done[-1]
                     window, tail = window[cut:], [None, *tail[cut + 1 :]]
         yield from self._path(tail, len(tail) - 1)
 
+    def _last(self, window: list[str], tail: list[str | None], before: str | None) -> str | None:
+        """The last token of the encoding of what has been read up to the window's end: the longest that stands beside what is before it."""
+        endings, stands = self.endings, self.stands
+        start, token, tokens = len(window) - 1, window[-1], []
+        least = max(0, start + 1 - self.lookahead)
+        while (own := endings.get(token)) is not None:  # else no token ends with this, so none with more
+            if own:
+                tokens.append((start, token))
+            if start == least:
+                break
+            start -= 1
+            token = window[start] + token
+        while tokens:  # the longest first
+            start, token = tokens.pop()
+            left = tail[start] if start else before
+            if (start == 0 and before is None) or (left is not None and stands(left, token)):
+                return token
+        return None
+
     def _path(self, tail: list[str | None], at: int) -> list[str]:
         out = []
         while at:
@@ -171,21 +213,20 @@ class WordBpe:
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.bytes_of = {c: b for b, c in self.letters.items()}
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-        self.cache: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, tuple[str, ...]] = {}
+        self.cache: Kept = Kept(CACHE_ENTRIES)  # by chunk: number of ids, ids, decoded ids
+        self.words: Kept = Kept(CACHE_ENTRIES)  # by word: its tokens
 
     def word(self, word: str) -> Iterable[str]:
         """Tokens of a word, from the transducer; of a long one each as soon as it is stable."""
-        if (known := self.words.get(word)) is not None:
+        if (known := self.words[word]) is not None:
             return known
         data = word.encode("utf-8")
         if len(data) > self.SHORT:
             return self.merges.stream(self._symbols(data))
-        if len(self.words) >= CACHE_ENTRIES:
-            self.words.clear()
         symbols = [self.letters[b] for b in data]
         symbols[-1] += self.merges.end
-        known = self.words[word] = tuple(self.merges.stream(symbols))
+        known = tuple(self.merges.stream(symbols))
+        self.words.put(word, known)
         return known
 
     def _symbols(self, data: bytes) -> Iterator[str]:
@@ -243,7 +284,7 @@ class WordBpe:
         count, ids_hash, text_hash, first = 0, hashlib.sha256(), hashlib.sha256(), True
         cache, buffer_ids, buffer_text = self.cache, [], []
         for chunk in self.chunks(text):
-            known = cache.get(chunk)
+            known = cache[chunk]
             for n, ids, decoded in (known,) if known is not None else self._encoded(chunk):
                 count += n
                 buffer_ids.append(ids)
@@ -261,9 +302,7 @@ class WordBpe:
         while part := list(islice(ids, self.WAITING)):
             known = (len(part), " ".join(map(str, part)), self.decode(part))
             if len(chunk) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[chunk] = known
+                self.cache.put(chunk, known)
             yield known
 
     @staticmethod
