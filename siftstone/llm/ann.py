@@ -1,20 +1,23 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A table rotates unit vectors pseudo-randomly (three rounds of random signs and a fast Hadamard transform) and assigns
-each to its nearest signed axis. A query probes, in every table, the axes nearest to it after the rotation; all vectors in
-a probed bucket are candidates and are ranked by their exact cosine.
+A function rotates unit vectors pseudo-randomly (three rounds of random signs and a fast Hadamard transform) and assigns each to its nearest
+signed axis. A table concatenates as many functions as it takes for buckets to be about as many as vectors, so buckets stay small however many
+vectors there are. The codes of every vector are computed once and written beside it.
 
-Queries are a stated set and go out in blocks of bounded size; each block is one narrow pass over all vectors, in which a task
-hashes its vectors, compares those in probed buckets, and keeps the k best of each query. Vectors are never shuffled
-and pairs are never rows; only the k best of each task and query are merged. A bucket's size doesn't matter, as a bucket is
-compared where its vectors lie. Queries that found fewer than k candidates are searched again over all buckets.
+A query probes, over all tables together, the buckets whose axes it is nearest to by the sum of its coordinates after the rotations. All vectors in a
+probed bucket are candidates and are ranked by their exact cosine. How many buckets are probed is measured: on a bounded sample of vectors, the
+least number that finds TARGET of the true neighbours there. In a sample of one in f vectors the k/f nearest are about as far away as the k nearest
+of all, so those are looked for; where that is less than one, the nearest, which is farther. Every vector is indexed.
 
-TABLES and PROBES give a recall of at least 0.9 on vectors without any structure, the hardest case, where the fifth nearest of
-50,000 in 64 dimensions has a cosine of about 0.4; vectors with near neighbours need fewer.
+Queries are a stated set and go out in blocks of bounded size; each block is one narrow pass over the coded vectors, in which a task
+looks up which queries probe its vectors' buckets, compares these pairs, and keeps the k best of each query. Vectors are never shuffled
+and pairs are never rows; only the k best of each task and query are merged. A bucket's size doesn't matter, as a bucket is
+compared where its vectors lie. Queries that found fewer than k candidates are compared with all vectors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import ship, written
+from siftstone.llm.common import dropped, shared_path, ship, written
 
 SCHEMA = "query_id long, vec_id long, score double"
-TABLES, PROBES = 10, 8
-#: Queries of a block, and vectors compared at once.
-BLOCK, STEP = 4096, 1024
-#: How much a product of matrices may fall short of the cosine that decides.
-SLACK = 1e-9
+CODED = "vec_id long, embedding array<double>, codes binary"
+TABLES = 30
+#: Functions that a table concatenates, at most, and the nearest axes of each that probes are made of, by the number of functions.
+AXES = {1: 256, 2: 32, 3: 16, 4: 10}
+#: Vectors and queries of the sample that the number of probes is measured on, at most; what share of neighbours it is to find; the least number, and steps.
+SAMPLE, SAMPLE_QUERIES, TARGET, LEAST_PROBES, GROWTH = 8000, 200, 0.92, 60, 1.15
+#: Queries of a block, vectors that are looked up and pairs that are compared at once.
+BLOCK, STEP, PAIRS = 4096, 1024, 1 << 15
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -44,35 +50,117 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class CrossPolytope:
-    """Tables of pseudo-rotations for vectors of one dimension."""
+    """Tables of concatenated pseudo-rotations for vectors of one dimension."""
+
+    def __init__(self, dim: int, functions: int = 1, tables: int = TABLES, seed: int = 11):
+        self.dim, self.width, self.functions, self.tables = dim, 1 << max(0, (dim - 1).bit_length()), functions, tables
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables * functions, 3, self.width))
 
-    def __init__(self, dim: int, tables: int = TABLES, seed: int = 11):
-        self.dim, self.width = dim, 1 << max(0, (dim - 1).bit_length())
-        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, self.width))
+    @classmethod
+    def of(cls, dim: int, rows: int) -> CrossPolytope:
+        """With about as many buckets in a table as there are rows."""
+        axes = 2 << max(0, (dim - 1).bit_length())
+        return cls(dim, min(max(AXES), max(1, round(math.log(max(2, rows)) / math.log(axes)))))
 
     @property
-    def buckets(self) -> int:
+    def axes(self) -> int:
         return 2 * self.width
 
-    def rotated(self, x: np.ndarray, table: int) -> np.ndarray:
+    def rotated(self, x: np.ndarray, function: int) -> np.ndarray:
         out = np.zeros((len(x), self.width))
         out[:, : self.dim] = x
-        for s in self.signs[table]:
+        for s in self.signs[function]:
             out = hadamard(out * s)
         return out
 
-    def codes(self, x: np.ndarray, table: int) -> np.ndarray:
+    def nearest(self, x: np.ndarray, function: int) -> np.ndarray:
         """The nearest signed axis: axis, plus width if the coordinate is negative."""
-        r = self.rotated(x, table)
+        r = self.rotated(x, function)
         axis = np.abs(r).argmax(1)
         return axis + self.width * (r[np.arange(len(r)), axis] < 0)
 
-    def probes(self, x: np.ndarray, table: int, n: int) -> np.ndarray:
-        """The n nearest signed axes of each row."""
-        r = self.rotated(x, table)
-        both = np.concatenate([r, -r], 1)
-        n = min(n, both.shape[1])
-        return np.argpartition(-both, n - 1, 1)[:, :n]
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """The bucket of each row in each table."""
+        out = np.zeros((len(x), self.tables), np.int64)
+        for t in range(self.tables):
+            for f in range(self.functions):
+                out[:, t] = out[:, t] * self.axes + self.nearest(x, t * self.functions + f)
+        return out
+
+    def probes(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(table, bucket) of the n nearest buckets of each row over all tables."""
+        few = min(AXES[self.functions], self.axes)
+        tables, buckets, sums = [], [], []
+        for t in range(self.tables):
+            near, bucket = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
+            for f in range(self.functions):
+                r = self.rotated(x, t * self.functions + f)
+                both = np.concatenate([r, -r], 1)
+                best = np.argpartition(-both, few - 1, 1)[:, :few]
+                near = (near[:, :, None] + np.take_along_axis(both, best, 1)[:, None, :]).reshape(len(x), -1)
+                bucket = (bucket[:, :, None] * self.axes + best[:, None, :]).reshape(len(x), -1)
+            if near.shape[1] > n:  # no more of one table can be among the n nearest
+                best = np.argpartition(-near, n - 1, 1)[:, :n]
+                near, bucket = np.take_along_axis(near, best, 1), np.take_along_axis(bucket, best, 1)
+            tables.append(np.full(near.shape, t))
+            buckets.append(bucket)
+            sums.append(near)
+        table, bucket, near = (np.concatenate(c, 1) for c in (tables, buckets, sums))
+        best = np.argpartition(-near, n - 1, 1)[:, :n] if near.shape[1] > n else np.tile(np.arange(near.shape[1]), (len(x), 1))
+        return np.take_along_axis(table, best, 1), np.take_along_axis(bucket, best, 1)
+
+
+class Probed:
+    """Which queries of a block probe a bucket; without hashes, all probe every one."""
+
+    def __init__(self, hashes: CrossPolytope | None, unit: np.ndarray, n: int):
+        self.queries, self.keys = len(unit), None
+        if hashes is None:
+            return
+        self.span = hashes.axes**hashes.functions
+        keys, owners = [], []
+        some = max(1, (1 << 21) // (hashes.tables * AXES[hashes.functions] ** hashes.functions))  # queries at a time, as memory allows
+        for at in range(0, len(unit), some):
+            table, bucket = hashes.probes(unit[at : at + some], n)
+            keys.append((table * self.span + bucket).ravel())
+            owners.append(np.repeat(np.arange(at, at + len(table)), table.shape[1]))
+        keys, owners = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(keys, kind="stable")
+        self.owners = owners[order].astype(np.int32)
+        self.keys, self.first = np.unique(keys[order], return_index=True)
+        self.first = np.append(self.first, len(keys))
+
+    def candidates(self, codes: np.ndarray) -> np.ndarray:
+        """queries x rows: whether a query probes a bucket of a row."""
+        if self.keys is None:
+            return np.ones((self.queries, len(codes)), bool)
+        seen = np.zeros((self.queries, len(codes)), bool)
+        for t in range(codes.shape[1]):
+            key = t * self.span + codes[:, t]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            row = np.flatnonzero(self.keys[at] == key)
+            begin, size = self.first[at[row]], self.first[at[row] + 1] - self.first[at[row]]
+            ends = np.cumsum(size)
+            place = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+            seen[self.owners[place], np.repeat(row, size)] = True
+        return seen
+
+
+def measured(hashes: CrossPolytope, x: np.ndarray, k: int, rows: int) -> int:
+    """The least number of probes that finds TARGET of what stands in a sample of `rows` vectors for the k nearest."""
+    k = max(1, round(k * len(x) / rows))
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    some = np.linspace(0, len(x) - 1, min(SAMPLE_QUERIES, len(x))).astype(int)
+    near = unit[some] @ unit.T
+    near[np.arange(len(some)), some] = -np.inf
+    top = np.argsort(-near, 1)[:, : min(k, len(x) - 1)]
+    codes, most, n = hashes.codes(unit), hashes.tables * AXES[hashes.functions] ** hashes.functions, LEAST_PROBES
+    while n < most and top.size:
+        seen = Probed(hashes, unit[some], n).candidates(codes)
+        if np.take_along_axis(seen, top, 1).mean() >= TARGET:
+            break
+        n = int(n * GROWTH) + 1
+    return n
 
 
 class Best:
@@ -118,45 +206,41 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
-def one_pass(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, tables: int, probes: int) -> DataFrame:
-    """The k best of a block of queries from every task."""
+def coded(vectors: DataFrame, hashes: CrossPolytope) -> DataFrame:
+    """Vectors with their buckets, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column("embedding"), hashes.dim)
+            codes = hashes.codes(x / np.sqrt((x * x).sum(1))[:, None]).astype(np.int64 if hashes.axes**hashes.functions >= 1 << 31 else np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "embedding", "codes"])
+
+    return written(vectors.mapInArrow(run, CODED), "codes")
+
+
+def one_pass(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, hashes: CrossPolytope | None, probes: int) -> DataFrame:
+    """The k best of a block of queries from every task; without hashes every vector is a candidate."""
     dim = queries.shape[1]
-    hashes = CrossPolytope(dim, tables)
-    norms = np.sqrt((queries * queries).sum(1))
-    unit = queries / norms[:, None]
-    wanted = []  # of each table and bucket, the queries that probe it
-    for t in range(tables):
-        p = hashes.probes(unit, t, probes)
-        owner, bucket = np.repeat(np.arange(len(p)), p.shape[1]), p.ravel()
-        order = np.argsort(bucket, kind="stable")
-        wanted.append(np.split(owner[order], np.searchsorted(bucket[order], np.arange(1, hashes.buckets))))
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, queries, norms, hashes, wanted))
+    unit = queries / np.sqrt((queries * queries).sum(1))[:, None]
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, queries, Probed(hashes, unit, probes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, norms, hashes, wanted = sent.value
+        ids, queries, probed = sent.value
         best = Best(len(ids), k)
         for batch in batches:
-            all_ids, all_x = batch.column("vec_id").to_numpy(), matrix(batch.column("embedding"), dim)
+            all_ids, all_x, all_codes = batch.column("vec_id").to_numpy(), matrix(batch.column("embedding"), dim), batch.column("codes").to_pylist()
             for at in range(0, len(all_ids), STEP):
                 own, x = all_ids[at : at + STEP], all_x[at : at + STEP]
-                lengths = np.sqrt((x * x).sum(1))
-                unit = x / lengths[:, None]
-                seen = np.zeros((len(ids), len(own)), bool)
+                codes = np.frombuffer(b"".join(all_codes[at : at + STEP]), np.int64 if len(all_codes[0]) == 8 * TABLES else np.int32).reshape(len(own), -1)
+                seen = probed.candidates(codes)
+                seen &= ids[:, None] != own[None, :]
+                i, j = np.nonzero(seen)
                 found = []
-                for t, lists in enumerate(wanted):
-                    codes = hashes.codes(unit, t)
-                    order = np.argsort(codes, kind="stable")
-                    cuts = np.flatnonzero(np.diff(codes[order])) + 1
-                    for rows in np.split(order, cuts):
-                        who = lists[codes[rows[0]]]
-                        if len(who):
-                            s = (queries[who] @ x[rows].T) / (norms[who][:, None] * lengths[rows][None, :])
-                            good = (s >= best.least[who][:, None] - SLACK) & (ids[who][:, None] != own[rows][None, :])
-                            i, j = np.nonzero(good)
-                            new = ~seen[who[i], rows[j]]
-                            i, j = i[new], j[new]
-                            seen[who[i], rows[j]] = True
-                            found.append((who[i], own[rows[j]], cosines(queries[who[i]], x[rows[j]])))
+                for part in range(0, len(i), PAIRS):
+                    q, v = i[part : part + PAIRS], j[part : part + PAIRS]
+                    score = cosines(queries[q], x[v])
+                    good = score >= best.least[q]
+                    found.append((q[good], own[v[good]], score[good]))
                 if found:
                     best.add(*(np.concatenate(c) for c in zip(*found, strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.v), pa.array(best.s)], names=["query_id", "vec_id", "score"])
@@ -185,7 +269,7 @@ def blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, list]]:
             return
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK) -> DataFrame:
     """The k nearest vectors found of every row whose vec_id is divisible by `every`.
 
     vectors has vec_id and embedding; other columns are ignored. Rows with a null id, or whose vector is null, empty,
@@ -195,19 +279,25 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, tables: int = TABLES
     """
     spark = vectors.sparkSession
     ship(spark)
-    vectors = usable(vectors)
-    out = None
-    for dim in sorted(r[0] for r in vectors.select(F.size("embedding").alias("d")).distinct().collect()):
-        same = vectors.where(F.size("embedding") == dim)
+    vectors, path, any_ = usable(vectors), shared_path(spark, "neighbours"), False
+    for dim, rows in sorted(tuple(r) for r in vectors.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()):
+        hashes = CrossPolytope.of(dim, rows)
+        same = coded(vectors.where(F.size("embedding") == dim), hashes)
+        one_in = max(1, -(-rows // SAMPLE))
+        sample = same.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(one_in)) == 0).orderBy("vec_id", "embedding").select("embedding").limit(2 * SAMPLE).toArrow()["embedding"].combine_chunks()
+        probes = measured(hashes, matrix(sample, dim), k, rows) if len(sample) else LEAST_PROBES
         for ids, column in blocks(same.where(F.col("vec_id") % every == 0), block):
             x = matrix(column, dim)
-            found = written(merged(one_pass(same, ids, x, k, tables, probes), k), "neighbours")
+            found = written(merged(one_pass(same, ids, x, k, hashes, probes), k), "found")
             short = {r["query_id"]: r["n"] for r in found.groupBy("query_id").agg(F.count("*").alias("n")).collect()}  # block rows at most
             few = np.array([short.get(i, 0) < k for i in ids.tolist()])
-            if few.any():  # all buckets of one table: everything is a candidate
-                again = written(merged(one_pass(same, ids[few], x[few], k, 1, 1 << 62), k), "neighbours")
-                found = found.join(F.broadcast(again.select("query_id").distinct()), "query_id", "left_anti").unionByName(again)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
+            out = found
+            if few.any():
+                again = written(merged(one_pass(same, ids[few], x[few], k, None, 0), k), "found")
+                out = found.join(F.broadcast(again.select("query_id").distinct()), "query_id", "left_anti").unionByName(again)
+            out.write.mode("append").parquet(path)
+            dropped(found)
+            any_ = True
+    if not any_:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return out.select("query_id", "rank", "vec_id", "score")
+    return spark.read.schema("query_id long, vec_id long, score double, rank int").parquet(path).select("query_id", "rank", "vec_id", "score")

@@ -66,6 +66,22 @@ def test_few_candidates_and_blocks(spark):
 
 def test_rotations_keep_lengths():
     x = np.random.default_rng(1).normal(size=(20, 50))
-    h = ann.CrossPolytope(50, 3)
-    assert np.allclose(np.linalg.norm(h.rotated(x, 2), axis=1), np.linalg.norm(x, axis=1)) and h.buckets == 128
-    assert all(h.codes(x, 1)[i] in h.probes(x, 1, 1)[i] for i in range(20))
+    h = ann.CrossPolytope(50, 2, 3)
+    assert np.allclose(np.linalg.norm(h.rotated(x, 2), axis=1), np.linalg.norm(x, axis=1)) and h.axes == 128
+    codes, (table, bucket) = h.codes(x), h.probes(x, 300)
+    assert all((codes[i, t], t) in set(zip(bucket[i].tolist(), table[i].tolist(), strict=True)) for i in range(20) for t in range(3))
+
+
+def test_buckets_follow_the_number_of_rows():
+    assert [ann.CrossPolytope.of(64, n).functions for n in (1, 500, 10_000, 1_000_000, 10**9)] == [1, 1, 2, 3, 4]
+
+
+def test_few_vectors_are_compared():
+    """Without any structure, the hardest case: about a tenth of the vectors, for nine tenths of the neighbours at least."""
+    x = np.random.default_rng(9).normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hashes, some = ann.CrossPolytope.of(64, len(x)), np.arange(0, len(x), 100)
+    seen = ann.Probed(hashes, x[some], ann.measured(hashes, x[::2], 5, len(x))).candidates(hashes.codes(x))
+    near = x[some] @ x.T
+    near[np.arange(len(some)), some] = -2
+    assert seen.mean() <= 0.12 and np.take_along_axis(seen, np.argsort(-near, 1)[:, :5], 1).mean() >= 0.9
