@@ -1,7 +1,7 @@
 """A log-bilinear language model, trained by noise-contrastive estimation in numpy, that scores whole texts.
 
 The OWN most frequent words have vectors of their own. All others share classes by their last two bytes, and a text's start and end have a class
-each. The model predicts a token's class from the two classes before it (q = C1 r(a) + C2 r(b), score of w = q . r'(w) + b(w)), and a
+each. The model predicts a token's class from the two classes before it (q = c1 * r(a) + c2 * r(b) by components, score of w = q . r'(w) + b(w)), and a
 word within a shared class by its smoothed count there.
 
 Training goes over all tokens of all training documents, in ROUNDS. In a round each task starts from the same parameters and makes steps over
@@ -36,7 +36,7 @@ BINS = 16
 #: The end of a text among the counted tokens; no word holds white space.
 END_TOKEN = b"\n"
 #: Training: length of vectors, noise words a token, noise words drawn for a batch, tokens of a batch, step width, passes over the corpus.
-DIM, NOISE, DRAWN, BATCH, RATE, ROUNDS = 32, 10.0, 256, 4096, 0.1, 2
+DIM, NOISE, DRAWN, BATCH, RATE, ROUNDS = 32, 10.0, 64, 8192, 0.1, 1
 #: Parts in which parameters are summed.
 SLICES = 16
 #: Words of a task's partial counts before they are handed on, tokens that a task trains on or scores at a time.
@@ -72,7 +72,7 @@ class Lbl:
         self.noise = (unigram + 0.5) / (unigram + 0.5).sum()
         self.r = r.normal(0, 0.1, (k, dim)).astype(np.float32)
         self.q = r.normal(0, 0.1, (k, dim)).astype(np.float32)
-        self.c1, self.c2 = np.eye(dim, dtype=np.float32) * 0.5, np.eye(dim, dtype=np.float32) * 0.5
+        self.c1, self.c2 = np.full(dim, 0.5, np.float32), np.full(dim, 0.5, np.float32)
         self.b = np.log(self.noise).astype(np.float32)
 
     @property
@@ -91,7 +91,7 @@ class Lbl:
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """What a class adds to q as the word but one, and as the word, before."""
-        return self.r @ self.c1, self.r @ self.c2
+        return self.r * self.c1, self.r * self.c2
 
     def normalisers(self, a: int) -> np.ndarray:
         """log of the sum over all classes but the start, after classes a and every b."""
@@ -123,14 +123,14 @@ class Trainer:
         m, k = self.m, len(self.m.b)
         drawn = np.minimum(np.searchsorted(self.cut, self.rng.random(DRAWN)), k - 1)
         ra, rb, qw, qn = m.r[a], m.r[b], m.q[w], m.q[drawn]
-        h = ra @ m.c1 + rb @ m.c2
+        h = ra * m.c1 + rb * m.c2
         hit = 1 / (1 + np.exp((h * qw).sum(1) + m.b[w] - self.log_noise[w]))
         miss = -(NOISE / DRAWN) / (1 + np.exp(-(h @ qn.T + m.b[drawn] - self.log_noise[drawn])))
         gh = hit[:, None] * qw + miss @ qn
         gq = summed_rows(w, hit[:, None] * h, k) + summed_rows(drawn, miss.T @ h, k)
         gb = summed_rows(w, hit, k) + summed_rows(drawn, miss.sum(0), k)
-        gr = summed_rows(np.concatenate([a, b]), np.concatenate([gh @ m.c1.T, gh @ m.c2.T]), k)
-        for p, g, slot in zip(m.parts, (gr, gq, ra.T @ gh, rb.T @ gh, gb), self.slots, strict=True):
+        gr = summed_rows(np.concatenate([a, b]), np.concatenate([gh * m.c1, gh * m.c2]), k)
+        for p, g, slot in zip(m.parts, (gr, gq, np.einsum("ij,ij->j", ra, gh), np.einsum("ij,ij->j", rb, gh), gb), self.slots, strict=True):
             slot += g * g
             p += np.float32(RATE) * g / np.sqrt(slot)
 

@@ -47,7 +47,7 @@ def plain_score(known, counts, text):
     cls = [lm.END if k == len(words) - 1 else singles.get(w) or lm.shared_class(w) for k, w in enumerate(words)]
     out, a, b = 0.0, lm.START, lm.START
     for w, c in zip(words, cls, strict=True):
-        s = [(m.r[a].astype(float) @ m.c1 + m.r[b].astype(float) @ m.c2) @ m.q[k] + m.b[k] for k in range(v.classes)]
+        s = [(m.r[a].astype(float) * m.c1 + m.r[b].astype(float) * m.c2) @ m.q[k] + m.b[k] for k in range(v.classes)]
         out += (s[c] - math.log(sum(math.exp(x) for k, x in enumerate(s) if k != lm.START))) / math.log(10)
         if 2 <= c < 2 + lm.SHARED:
             mates = [n for x, n in counts.items() if x not in singles and x != lm.END_TOKEN and lm.shared_class(x) == c]
