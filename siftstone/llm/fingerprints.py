@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -78,11 +78,33 @@ def with_next(rid: int, doc_id: int | None, text: str, own: tuple[str, str], fol
     return rid, doc_id, len(text), *own, *changed, *theirs
 
 
+def ends_met(rows: DataFrame, close: Callable[[dict, dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What close() gives for each partition's last row and the next one's first; behind the last partition comes the first.
+
+    rows has part (its partition) and place ("first", "last" or null). The numbers of partitions that have rows reach the driver.
+    """
+    parts = sorted(r[0] for r in rows.where("place = 'first'").select("part").collect())
+    before = rows.sparkSession.createDataFrame([(p, parts[i - 1]) for i, p in enumerate(parts)], "part int, before int")
+    ends = rows.where(F.col("place").isNotNull()).join(F.broadcast(before), "part", "left")
+    paired_ = ends.withColumn("pair", F.when(F.col("place") == "first", F.col("before")).otherwise(F.col("part"))).drop("before")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            for i in range(batch.num_rows):  # texts may be long, so one at a time
+                r = batch.slice(i, 1).to_pylist()[0]
+                if r["place"] == "last":
+                    last = r
+                else:
+                    yield from close(last, r)
+
+    return paired_.repartition("pair").sortWithinPartitions("pair", F.desc("place")).mapInArrow(run, schema)
+
+
 def neighbours(docs: DataFrame, digits: int) -> DataFrame:
     """Hashes of each text, its edited text and the next document's, by one range shuffle.
 
-    A partition's first and last texts go to one more task, which joins the partitions' ends; it gets two rows a
-    partition.
+    A partition's last text meets the next one's first by one more shuffle, of two rows a partition.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,24 +133,13 @@ def neighbours(docs: DataFrame, digits: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], names=NAMES)
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def close(last: dict, first: dict) -> Iterator[pa.RecordBatch]:
         grow = zstandard.ZstdDecompressor()
-        open_: tuple | None = None
-        begin: str | None = None
-        for batch in batches:
-            for r in batch.to_pylist():
-                text = grow.decompress(r["z"]).decode("utf-8", "surrogatepass")
-                if r["place"] == "first":
-                    begin = text if begin is None else begin
-                    if open_:
-                        yield closing(open_, text, digits)
-                else:
-                    open_ = (r["rid"], r["doc_id"], text)
-        if open_:
-            yield closing(open_, begin, digits)
+        texts_ = [grow.decompress(r["z"]).decode("utf-8", "surrogatepass") for r in (last, first)]
+        yield closing((last["rid"], last["doc_id"], texts_[0]), texts_[1], digits)
 
     most = written(in_order(docs).mapInArrow(run, NEIGHBOURS), "neighbours")
-    ends = most.where(F.col("place").isNotNull()).coalesce(1).sortWithinPartitions("part", "place").mapInArrow(close, NEIGHBOURS)
+    ends = ends_met(most, close, NEIGHBOURS)
     return most.where(F.col("place").isNull()).unionByName(ends).drop("part", "place", "first_sha", "z")
 
 
@@ -198,23 +209,13 @@ def edited_members(docs: DataFrame, keep: set[int] | None, digits: int) -> DataF
     def end(part: int, place: str, rid: int, text: str) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([place]), pa.array([rid], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.string()), pa.array([text.encode("utf-8", "surrogatepass")], pa.binary())], names=["part", "place", "rid", "hash", "sha", "bytes"])
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, begin = None, None
-        for batch in batches:
-            for r in batch.to_pylist():
-                text = r["bytes"].decode("utf-8", "surrogatepass")
-                if r["place"] == "first":
-                    begin = text if begin is None else begin
-                    if open_ and (keep is None or open_[0] in keep):
-                        yield member(edited(open_[1], text))
-                else:
-                    open_ = (r["rid"], text)
-        if open_ and (keep is None or open_[0] in keep):
-            yield member(edited(open_[1], begin))
+    def close(last: dict, first: dict) -> Iterator[pa.RecordBatch]:
+        if keep is None or last["rid"] in keep:
+            yield member(edited(*(r["bytes"].decode("utf-8", "surrogatepass") for r in (last, first))))
 
     schema = "part int, place string, rid long, hash string, sha string, bytes binary"
     rows = written(in_order(docs).mapInArrow(run, schema), "edited")
-    ends = rows.where(F.col("place").isNotNull()).coalesce(1).sortWithinPartitions("part", "place").mapInArrow(close, schema)
+    ends = ends_met(rows, close, schema)
     return rows.where(F.col("place").isNull()).unionByName(ends).select("hash", "sha", "bytes")
 
 
