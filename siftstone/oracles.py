@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
-from siftstone.functions.text import PARSER_LANGUAGES, query_phrases, query_tokens
-from siftstone.operators.symbols import PATTERNS
 from siftstone.queries import CODE, FILES, LINES, OVERLAP, WINDOW, WORDS, chunk_sql
-from siftstone.sources.ignore import SKIPPED_DIRS, SKIPPED_ENDINGS, SKIPPED_NAMES, SKIPPED_PREFIX
+
+# The fixed values are stated here once more, and not taken from the code that the SQL is held against.
+
+#: Definition patterns behind a line's white space, and their kinds.
+PATTERNS = [
+    (r"class\s+([A-Za-z_][A-Za-z0-9_]*)", "class"),
+    (r"def\s+([A-Za-z_][A-Za-z0-9_]*)", "function"),
+    (r"(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][A-Za-z0-9_$]*)", "function"),
+    (r"(?:export\s+)?class\s+([A-Za-z_$][A-Za-z0-9_$]*)", "class"),
+    (r"(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][A-Za-z0-9_$]*)\s*=>", "function"),
+    (r"func\s+([A-Za-z_][A-Za-z0-9_]*)", "function"),
+    (r"(?:pub\s+)?fn\s+([A-Za-z_][A-Za-z0-9_]*)", "function"),
+]
+#: Names that are skipped.
+SKIPPED_DIRS = [
+    ".git", ".hg", ".svn", ".venv", "venv", ".cache", ".gradle", ".turbo", "node_modules", "vendor", "__pycache__", ".mypy_cache",
+    ".pytest_cache", ".ruff_cache", ".tox", ".idea", ".next", ".nuxt", "dist", "build", "target", "coverage",
+]
+SKIPPED_NAMES = [
+    ".netrc", ".pgpass", ".htpasswd", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", ".env", ".envrc", "uv.lock", "package-lock.json", "yarn.lock",
+    "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Pipfile.lock", "Gemfile.lock", "composer.lock", "go.sum",
+]
+SKIPPED_PREFIX = ".env."
+SKIPPED_ENDINGS = [".pem", ".key", ".p12", ".pfx", ".der", ".jks", ".keystore", ".ppk"]
+#: Parser language by suffix.
+PARSER_LANGUAGES = {
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".java": "java", ".go": "go", ".rs": "rust",
+    ".rb": "ruby", ".php": "php", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".cs": "c_sharp", ".kt": "kotlin", ".swift": "swift",
+}
+#: The words of the full-text queries as phrases and as tokens, and those of the path and symbol query.
+PHRASES = [["the"], ["license"], ["version"], ["of"], ["nothing", "en"], ["nation"]]
+WORD_TOKENS = ["the", "license", "version", "of", "nothing.en", "nation"]
+PART_TOKENS = ["part_1", "load_china"]
 
 assert WINDOW > OVERLAP
 DOC_CHUNKS, CODE_CHUNKS = chunk_sql(FILES), chunk_sql(CODE)
@@ -37,7 +67,6 @@ def occurrences(tokens: str, phrase: list[str]) -> str:
     return f"len(list_filter(range(1, len({tokens}) + 1), lambda i: coalesce({test}, false)))"
 
 
-PHRASES = query_phrases(WORDS)
 _f = ", ".join(f"{occurrences('p', ph)} + {occurrences('t', ph)} AS f{n}" for n, ph in enumerate(PHRASES))
 _df = ", ".join(f"count(*) FILTER (f{n} > 0) AS n{n}" for n in range(len(PHRASES)))
 _idf = ", ".join(f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END AS w{i}" for i in range(len(PHRASES)))
@@ -60,7 +89,7 @@ def path_score(query: str, tokens: list[str], path: str = "path") -> str:
     return f"CASE WHEN contains(lower({path}), '{q}') OR contains('{q}', lower({path})) THEN CAST(4.5 AS DOUBLE) WHEN {weak} THEN 1.5 ELSE 0.0 END"
 
 
-_path = path_score(WORDS, query_tokens(WORDS))
+_path = path_score(WORDS, WORD_TOKENS)
 FUSED = f"""(WITH sig AS (
     SELECT chunk_id, 0 AS signal, greatest(0.2, CAST(4.0 AS DOUBLE) - 0.03 * rank) AS score, CAST(NULL AS DOUBLE) AS similarity FROM {RANKED} r
     UNION ALL SELECT chunk_id, 1, 3.0 * s, s FROM (SELECT chunk_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {Q}) AS s FROM {VECTORS} v WHERE embedding IS NOT NULL) WHERE s > 0
@@ -70,13 +99,13 @@ FUSED = f"""(WITH sig AS (
 
 # --- snapshots -------------------------------------------------------------------------------------------------------
 
-PRESENT = f"(SELECT repo, path, sha256(CASE WHEN doc_id % 5 = 0 THEN content || '!' ELSE content END) AS h, strlen(content) AS size, doc_id % 13 <> 0 AS readable FROM {FILES} f WHERE doc_id % 7 <> 0)"
-STORED = f"(SELECT repo, path, sha256(content) AS h FROM {FILES} f WHERE doc_id % 11 <> 0)"
+PRESENT = f"(SELECT repo, CASE WHEN doc_id % 7 = 0 THEN path || '.new' ELSE path END AS path, sha256(CASE WHEN doc_id % 5 = 0 THEN content || '!' ELSE content END) AS h, strlen(content) AS size, doc_id % 13 <> 0 AS readable FROM {FILES} f)"
+STORED = f"(SELECT repo, CASE WHEN doc_id % 11 = 0 THEN path || '.old' ELSE path END AS path, sha256(content) AS h FROM {FILES} f)"
 SPACES = "\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 _names = [*sorted(SKIPPED_DIRS), *sorted(SKIPPED_NAMES), *(f"x{e}" for e in SKIPPED_ENDINGS), ".env.local", "main.py", "env", "keys.txt"]
 _endings = " OR ".join(f"ends_with(name, '{e}')" for e in SKIPPED_ENDINGS)
-_part = path_score("part_1 load_china", query_tokens("part_1 load_china"))
-_symbol = " OR ".join(f"contains(st, '{t}')" for t in query_tokens("part_1 load_china"))
+_part = path_score("part_1 load_china", PART_TOKENS)
+_symbol = " OR ".join(f"contains(st, '{t}')" for t in PART_TOKENS)
 
 ORACLES = {
     "list_files_glob_lang": f"SELECT repo, path, language, sha256(content) AS file_hash, strlen(content) AS size FROM {FILES} f WHERE path GLOB 'src1*/??/*[0-4].*' AND lower({LANGUAGE}) = 'en' ORDER BY repo, path LIMIT 200",

@@ -233,11 +233,12 @@ def search_with_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """present: documents but every seventh, of which every fifth has another text; stored: documents but every eleventh."""
+    """All documents on both sides. In present every seventh has moved to a new path and every fifth has another text; in stored every eleventh has a path that is gone."""
     d = doc_files(spark, sf_dir).select("doc_id", "repo", "path", "content")
     changed = F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
-    present = d.where("doc_id % 7 != 0").select("repo", "path", F.sha2(changed, 256).alias("file_hash"), F.octet_length("content").cast("long").alias("size"), (F.col("doc_id") % 13 != 0).alias("readable"))
-    return present, d.where("doc_id % 11 != 0").select("repo", "path", F.sha2("content", 256).alias("file_hash"))
+    moved = lambda n, end: F.when(F.col("doc_id") % n == 0, F.concat("path", F.lit(end))).otherwise(F.col("path")).alias("path")
+    present = d.select("repo", moved(7, ".new"), F.sha2(changed, 256).alias("file_hash"), F.octet_length("content").cast("long").alias("size"), (F.col("doc_id") % 13 != 0).alias("readable"))
+    return present, d.select("repo", moved(11, ".old"), F.sha2("content", 256).alias("file_hash"))
 
 
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
