@@ -93,13 +93,21 @@ class Lbl:
         """What a class adds to q as the word but one, and as the word, before."""
         return self.r * self.c1, self.r * self.c2
 
-    def normalisers(self, a: int) -> np.ndarray:
-        """log of the sum over all classes but the start, after classes a and every b."""
-        one, two = self.contexts()
-        s = (one[a] + two) @ self.q.T + self.b
-        s[:, START] = -np.inf  # nothing is followed by a start
-        top = s.max(1, keepdims=True)
-        return (top[:, 0] + np.log(np.exp(s - top).sum(1))).astype(np.float32)
+    def normalisers(self, at_once: int = 256) -> np.ndarray:
+        """log of the sum over all classes but the start, after classes a (row) and b (column).
+
+        A score is a sum of what a, b and the class itself add, so the sum of its exponentials is a product of two matrices of exponentials.
+        """
+        one, two = (x.astype(np.float64) @ self.q.T for x in self.contexts())
+        two += self.b
+        two[:, START] = -np.inf  # nothing is followed by a start
+        top_one, top_two = one.max(1, keepdims=True), two.max(1)
+        after = np.exp(two - top_two[:, None]).T
+        out = np.empty((len(one), len(one)), np.float32)
+        for at in range(0, len(one), at_once):
+            rows = slice(at, at + at_once)
+            out[rows] = np.log(np.exp(one[rows] - top_one[rows]) @ after) + top_one[rows] + top_two
+        return out
 
 
 class Trainer:
@@ -276,15 +284,7 @@ def learn(training: DataFrame, own: int = OWN) -> Learned:
     model, sent = Lbl(n.astype(np.float64)), spark.sparkContext.broadcast(vocabulary)
     for round_ in range(ROUNDS if total else 0):
         model = trained(model, training, sent, round_)
-    final = spark.sparkContext.broadcast(model)
-
-    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in batch.column("id").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([final.value.normalisers(a).tobytes()])], names=["id", "z"])
-
-    rows = spark.range(0, k, 1, min(k, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(normalise, "id long, z binary").collect()  # of bounded size
-    log_z = np.stack([np.frombuffer(r["z"], np.float32) for r in sorted(rows)])
+    log_z = model.normalisers()
     return Learned(counts, total, distinct, vocabulary, model, log_z, within)
 
 
