@@ -14,9 +14,12 @@ Counts of the most frequent words, bounded in number, are broadcast; rarer words
 
 from __future__ import annotations
 
+import ctypes
 import math
+import os
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +39,7 @@ BINS = 16
 #: The end of a text among the counted tokens; no word holds white space.
 END_TOKEN = b"\n"
 #: Training: length of vectors, noise words a token, noise words drawn for a batch, tokens of a batch, step width, passes over the corpus.
-DIM, NOISE, DRAWN, BATCH, RATE, ROUNDS = 32, 10.0, 64, 8192, 0.1, 1
+DIM, NOISE, DRAWN, BATCH, RATE, ROUNDS = 32, 10.0, 64, 2048, 0.1, 1
 #: Parts in which parameters are summed.
 SLICES = 16
 #: Words of a task's partial counts before they are handed on, tokens that a task trains on or scores at a time.
@@ -203,6 +206,20 @@ class Vocabulary:
         return at, cls, rare
 
 
+@contextmanager
+def holding_memory(size: int = 16 << 20) -> Iterator[None]:
+    """While a task trains, freed memory stays with it, as each batch asks for the same again; then workers give it back as before (see ship())."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    kinds = {-1: "MALLOC_TRIM_THRESHOLD_", -3: "MALLOC_MMAP_THRESHOLD_"}  # fixed values of the C library
+    for kind in kinds if mallopt else ():
+        mallopt(kind, size)
+    try:
+        yield
+    finally:
+        for kind, name in kinds.items() if mallopt else ():
+            mallopt(kind, int(os.environ.get(name, 1 << 17)))
+
+
 def trained(model: Lbl, training: DataFrame, vocabulary, round_: int) -> Lbl:
     """The model after one more pass over all training documents: the average of what the tasks' steps make of it."""
     spark = training.sparkSession
@@ -213,16 +230,17 @@ def trained(model: Lbl, training: DataFrame, vocabulary, round_: int) -> Lbl:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, own = vocabulary.value, sent.value
         step, held, size = Trainer(Lbl(own.noise).load(own.flat()), 1000 * round_ + TaskContext.get().partitionId()), [], 0
-        for batch in batches:
-            column = batch.column("text")
-            for i in range(len(column)):
-                held.append(np.concatenate([[START, START], v.read(column[i].as_py())[1]]))
-                size += len(held[-1]) - 2
-                if size >= HELD:
-                    step(*followed(held))
-                    held, size = [], 0
-        if held:
-            step(*followed(held))
+        with holding_memory():
+            for batch in batches:
+                column = batch.column("text")
+                for i in range(len(column)):
+                    held.append(np.concatenate([[START, START], v.read(column[i].as_py())[1]]))
+                    size += len(held[-1]) - 2
+                    if size >= HELD:
+                        step(*followed(held))
+                        held, size = [], 0
+            if held:
+                step(*followed(held))
         if step.seen:
             flat = step.m.flat()
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([step.seen] * SLICES, pa.int64()), pa.array([flat[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())], schema=schema)
