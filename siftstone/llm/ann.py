@@ -6,10 +6,11 @@ vectors there are. The codes of every vector are computed once and written besid
 
 A query probes, over all tables together, the buckets whose axes it is nearest to by the sum of its coordinates after the rotations. All vectors in a
 probed bucket are candidates and are ranked by their exact cosine. How many buckets are probed is measured: on a bounded sample of vectors, the
-least number that finds TARGET of the true neighbours there. In a sample of one in f vectors the k/f nearest are about as far away as the k nearest
+least number that finds TARGET of the true neighbours there; where that is more than MOST_PROBES, a table concatenates a function less, and its
+buckets are larger. In a sample of one in f vectors the k/f nearest are about as far away as the k nearest
 of all, so those are looked for; where that is less than one, the nearest, which is farther. Every vector is indexed.
 
-Queries are a stated set and go out in blocks of bounded size; each block is one narrow pass over the coded vectors, in which a task
+Queries are a stated set and go out in blocks of a bounded number of probes, all queries together; each block is one narrow pass over the coded vectors, in which a task
 looks up which queries probe its vectors' buckets, compares these pairs, and keeps the k best of each query. Vectors are never shuffled
 and pairs are never rows; only the k best of each task and query are merged. A bucket's size doesn't matter, as a bucket is
 compared where its vectors lie. Queries that found fewer than k candidates are compared with all vectors.
@@ -34,6 +35,8 @@ TABLES = 30
 AXES = {1: 256, 2: 32, 3: 16, 4: 10}
 #: Vectors and queries of the sample that the number of probes is measured on, at most; what share of neighbours it is to find; the least number, and steps.
 SAMPLE, SAMPLE_QUERIES, TARGET, LEAST_PROBES, GROWTH = 8000, 200, 0.92, 60, 1.15
+#: Probes of a query, beyond which a table has a function less; probes of a block, and numbers of its or the sample's vectors, at most (driver's memory).
+MOST_PROBES, ENTRIES, NUMBERS = 4096, 1 << 21, 1 << 21
 #: Queries of a block, vectors that are looked up and pairs that are compared at once.
 BLOCK, STEP, PAIRS = 4096, 1024, 1 << 15
 
@@ -66,6 +69,11 @@ class CrossPolytope:
     def axes(self) -> int:
         return 2 * self.width
 
+    @property
+    def few(self) -> int:
+        """The nearest axes of a function that probes are made of: all of them, where a table has one function."""
+        return self.axes if self.functions == 1 else min(AXES[self.functions], self.axes)
+
     def rotated(self, x: np.ndarray, function: int) -> np.ndarray:
         out = np.zeros((len(x), self.width))
         out[:, : self.dim] = x
@@ -89,7 +97,7 @@ class CrossPolytope:
 
     def probes(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(table, bucket) of the n nearest buckets of each row over all tables."""
-        few = min(AXES[self.functions], self.axes)
+        few = self.few
         tables, buckets, sums = [], [], []
         for t in range(self.tables):
             near, bucket = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
@@ -119,14 +127,14 @@ class Probed:
             return
         self.span = hashes.axes**hashes.functions
         keys, owners = [], []
-        some = max(1, (1 << 21) // (hashes.tables * AXES[hashes.functions] ** hashes.functions))  # queries at a time, as memory allows
+        some = max(1, (1 << 21) // (hashes.tables * hashes.few**hashes.functions))  # queries at a time, as memory allows
         for at in range(0, len(unit), some):
             table, bucket = hashes.probes(unit[at : at + some], n)
             keys.append((table * self.span + bucket).ravel())
-            owners.append(np.repeat(np.arange(at, at + len(table)), table.shape[1]))
+            owners.append(np.repeat(np.arange(at, at + len(table), dtype=np.int32), table.shape[1]))
         keys, owners = np.concatenate(keys), np.concatenate(owners)
         order = np.argsort(keys, kind="stable")
-        self.owners = owners[order].astype(np.int32)
+        self.owners = owners[order]
         self.keys, self.first = np.unique(keys[order], return_index=True)
         self.first = np.append(self.first, len(keys))
 
@@ -154,15 +162,30 @@ def measured(hashes: CrossPolytope, x: np.ndarray, k: int, rows: int) -> int:
     near = unit[some] @ unit.T
     near[np.arange(len(some)), some] = -np.inf
     top = np.argsort(-near, 1)[:, : min(k, len(x) - 1)]
-    codes, most, n = hashes.codes(unit), hashes.tables * AXES[hashes.functions] ** hashes.functions, LEAST_PROBES
+    codes, most, n = hashes.codes(unit), hashes.tables * hashes.few**hashes.functions, LEAST_PROBES
+
+    def found(n: int) -> float:
+        part = max(1, ENTRIES // n)  # queries at a time
+        seen = (Probed(hashes, unit[some[at : at + part]], n).candidates(codes) for at in range(0, len(some), part))
+        return np.take_along_axis(np.concatenate(list(seen)), top, 1).mean()
+
+    if hashes.functions > 1 and top.size and found(MOST_PROBES) < TARGET:
+        return MOST_PROBES + 1
     while n < most and top.size:
-        seen = Probed(hashes, unit[some], n).candidates(codes)
-        if np.take_along_axis(seen, top, 1).mean() >= TARGET:
+        if found(n) >= TARGET:
             break
         n = int(n * GROWTH) + 1
     return n
 
 
+def fitted(x: np.ndarray, dim: int, k: int, rows: int) -> tuple[CrossPolytope, int]:
+    """Hashes for `rows` vectors, and the number of probes measured on the sample x of them; as many functions as reach TARGET with MOST_PROBES."""
+    hashes = CrossPolytope.of(dim, rows)
+    while (probes := measured(hashes, x, k, rows) if len(x) else LEAST_PROBES) > MOST_PROBES and hashes.functions > 1:
+        hashes = CrossPolytope(dim, hashes.functions - 1)
+    return hashes, probes
+
+
 class Best:
     """The k best distinct vectors of each query so far."""
 
@@ -201,9 +224,13 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.where((largest > 1e-100) & (largest < 1e100), x, x / largest)  # squares must neither overflow nor vanish
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def lengths(a: np.ndarray) -> np.ndarray:
+    return np.sqrt((a * a).sum(1))
+
+
+def cosines(a: np.ndarray, b: np.ndarray, a_lengths: np.ndarray, b_lengths: np.ndarray) -> np.ndarray:
     """Cosines of rows; the same two vectors give the same number wherever they stand."""
-    return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+    return (a * b).sum(1) / (a_lengths * b_lengths)
 
 
 def coded(vectors: DataFrame, hashes: CrossPolytope) -> DataFrame:
@@ -219,33 +246,34 @@ def coded(vectors: DataFrame, hashes: CrossPolytope) -> DataFrame:
 
 
 def one_pass(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, hashes: CrossPolytope | None, probes: int) -> DataFrame:
-    """The k best of a block of queries from every task; without hashes every vector is a candidate."""
-    dim = queries.shape[1]
-    unit = queries / np.sqrt((queries * queries).sum(1))[:, None]
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, queries, Probed(hashes, unit, probes)))
+    """The k best of a block of queries, written; without hashes every vector is a candidate."""
+    dim, long = queries.shape[1], lengths(queries)
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, queries, Probed(hashes, queries / long[:, None], probes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, probed = sent.value
-        best = Best(len(ids), k)
+        best, long = Best(len(ids), k), lengths(queries)
         for batch in batches:
             all_ids, all_x, all_codes = batch.column("vec_id").to_numpy(), matrix(batch.column("embedding"), dim), batch.column("codes").to_pylist()
             for at in range(0, len(all_ids), STEP):
                 own, x = all_ids[at : at + STEP], all_x[at : at + STEP]
                 codes = np.frombuffer(b"".join(all_codes[at : at + STEP]), np.int64 if len(all_codes[0]) == 8 * TABLES else np.int32).reshape(len(own), -1)
-                seen = probed.candidates(codes)
+                seen, x_long = probed.candidates(codes), lengths(x)
                 seen &= ids[:, None] != own[None, :]
                 i, j = np.nonzero(seen)
                 found = []
                 for part in range(0, len(i), PAIRS):
                     q, v = i[part : part + PAIRS], j[part : part + PAIRS]
-                    score = cosines(queries[q], x[v])
+                    score = cosines(queries[q], x[v], long[q], x_long[v])
                     good = score >= best.least[q]
                     found.append((q[good], own[v[good]], score[good]))
                 if found:
                     best.add(*(np.concatenate(c) for c in zip(*found, strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.v), pa.array(best.s)], names=["query_id", "vec_id", "score"])
 
-    return vectors.mapInArrow(run, SCHEMA)
+    found = written(merged(vectors.mapInArrow(run, SCHEMA), k), "found")
+    sent.destroy()
+    return found
 
 
 def merged(found: DataFrame, k: int) -> DataFrame:
@@ -257,7 +285,7 @@ def merged(found: DataFrame, k: int) -> DataFrame:
 def blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, list]]:
     """Queries by ascending vec_id, a bounded number at a time; of several rows of one id the smallest vector."""
     last = None
-    distinct = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    distinct = written(queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     while True:
         rest = distinct if last is None else distinct.where(F.col("vec_id") > last)
         got = rest.orderBy("vec_id").limit(block).toArrow()
@@ -266,6 +294,7 @@ def blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, list]]:
             last = ids[-1].as_py()
             yield ids.to_numpy(), got["embedding"].combine_chunks()
         if got.num_rows < block:
+            dropped(distinct)
             return
 
 
@@ -281,22 +310,24 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK)
     ship(spark)
     vectors, path, any_ = usable(vectors), shared_path(spark, "neighbours"), False
     for dim, rows in sorted(tuple(r) for r in vectors.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()):
-        hashes = CrossPolytope.of(dim, rows)
-        same = coded(vectors.where(F.size("embedding") == dim), hashes)
-        one_in = max(1, -(-rows // SAMPLE))
-        sample = same.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(one_in)) == 0).orderBy("vec_id", "embedding").select("embedding").limit(2 * SAMPLE).toArrow()["embedding"].combine_chunks()
-        probes = measured(hashes, matrix(sample, dim), k, rows) if len(sample) else LEAST_PROBES
-        for ids, column in blocks(same.where(F.col("vec_id") % every == 0), block):
+        own = vectors.where(F.size("embedding") == dim)
+        most = max(1, min(SAMPLE, NUMBERS // dim))
+        one_in = max(1, -(-rows // most))
+        sample = own.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(one_in)) == 0).orderBy("vec_id", "embedding").select("embedding").limit(2 * most).toArrow()["embedding"].combine_chunks()
+        hashes, probes = fitted(matrix(sample, dim), dim, k, rows)
+        same = coded(own, hashes)
+        for ids, column in blocks(same.where(F.col("vec_id") % every == 0), max(1, min(block, ENTRIES // probes, NUMBERS // dim))):
             x = matrix(column, dim)
-            found = written(merged(one_pass(same, ids, x, k, hashes, probes), k), "found")
+            found = one_pass(same, ids, x, k, hashes, probes)
             short = {r["query_id"]: r["n"] for r in found.groupBy("query_id").agg(F.count("*").alias("n")).collect()}  # block rows at most
             few = np.array([short.get(i, 0) < k for i in ids.tolist()])
-            out = found
+            out, again = found, None
             if few.any():
-                again = written(merged(one_pass(same, ids[few], x[few], k, None, 0), k), "found")
+                again = one_pass(same, ids[few], x[few], k, None, 0)
                 out = found.join(F.broadcast(again.select("query_id").distinct()), "query_id", "left_anti").unionByName(again)
             out.write.mode("append").parquet(path)
-            dropped(found)
+            for done in filter(None, (found, again)):
+                dropped(done)
             any_ = True
     if not any_:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
