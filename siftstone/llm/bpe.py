@@ -5,6 +5,7 @@ ends with exactly one token t, and what stands before t is the encoding of the p
 whose pair with the last token before it is left alone by the merge list. So the encodings of all prefixes form a tree. A token covers at most
 `lookahead` symbols (the longest entry of the merge list), so every later prefix descends from one of the last `lookahead` positions. A token is stable, and is emitted,
 once it lies on the path of all of these; nothing before it is kept. Memory follows the lookahead, not the word.
+Which tokens end at a position is told by an automaton, whose state is the longest end of what has been read that begins a token; its moves are kept.
 
 Decoding. Tokens become bytes one at a time, and bytes become text by a UTF-8 state machine that holds back
 an unfinished character only.
@@ -19,7 +20,7 @@ import re
 import sys
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,16 +33,20 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 #: White space of the normaliser and of the pattern (the Unicode property).
 SPACE = r"[\t-\r \x85\xa0  -     　]+"
-#: Encoded chunks that a worker keeps, and the longest that it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
-#: States of the transducer that a worker keeps.
+#: Encoded words that a worker keeps.
+CACHE_ENTRIES = 400_000
+#: Moves of the transducer's automaton that a worker keeps.
 STATES = 400_000
+#: Pairs of tokens of which a worker keeps whether they stand, about.
+PAIRS = 1 << 18
+#: Last characters of patterns; the fewer characters a pattern knows, the faster it is.
+LASTS = (0x7F, 0xFFFF, sys.maxunicode)
 
 
-@lru_cache(4)
-def ranges(category: str) -> str:
-    """All characters of a category as the inside of a character class, in the Unicode version of the tokenizers library."""
-    every = "".join(map(chr, (c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)))
+@lru_cache(8)
+def ranges(category: str, last: int = sys.maxunicode) -> str:
+    """All characters of a category, up to the last, as the inside of a character class, in the Unicode version of the tokenizers library."""
+    every = "".join(map(chr, (c for c in range(last + 1) if not 0xD800 <= c < 0xE000)))
     runs = pre_tokenizers.Split(Regex(rf"\p{{{category}}}+"), "removed", invert=True).pre_tokenize_str(every)
     out = []
     for run, _ in runs:
@@ -79,6 +84,36 @@ class Kept(dict):
         self.old = {}
 
 
+class Beside(dict):
+    """By right token, whether it stands beside this left one: "" is a word's start, beside which all do; None is nothing."""
+
+    __slots__ = ("left", "merges")
+
+    def __init__(self, left: str | None, merges: Merges):
+        self.left, self.merges = left, merges
+
+    def __missing__(self, right: str) -> bool:
+        self.merges.pairs += 1
+        self[right] = found = self.left == "" if not self.left else self.merges.stand(self.left, right)
+        return found
+
+
+class Pairs(dict):
+    """By left token, what stands beside it."""
+
+    __slots__ = ("merges",)
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+
+    def __missing__(self, left: str | None) -> Beside:
+        if self.merges.pairs > PAIRS:
+            self.merges.pairs = 0
+            self.clear()
+        self[left] = found = Beside(left, self.merges)
+        return found
+
+
 class Merges:
     """A merge list over symbols; gives the last tokens of prefixes and tells which pairs of tokens stand."""
 
@@ -89,12 +124,13 @@ class Merges:
         self.width = {t: self._symbols(t) for t in vocab}
         #: No token covers more symbols than this; it suffices as lookahead.
         self.lookahead = max(self.width[t] for t in self.parts)
-        #: What tokens end with, in whole symbols, and whether it is a token that is its own encoding.
-        self.endings = {t[i:]: False for t in self.parts for i in range(self.width[t])}
-        self.endings |= {t: True for t in vocab if self.merged(self.split(t)) == [t]}
-        self.stands = lru_cache(1 << 18)(self._stands)
-        #: The transducer's states: the last token of the encoding of each prefix of words that it has met.
-        self.states: dict[str, str | None] = {}
+        #: Tokens that are their own encoding, and what they begin with, in whole symbols.
+        self.own = {t for t in vocab if self.merged(self.split(t)) == [t]}
+        self.begins = self.own | {t[:i] for t in self.own for i in range(1, self.width[t])}
+        self.stands, self.pairs = Pairs(self), 0
+        #: The automaton: by state and symbol, the next state and the tokens (width, token) that end there, the longest first.
+        self.moves: dict[str, tuple[str, tuple]] = {}
+        self.ends = lru_cache(None)(self._ends)  # as many as `begins` at most
 
     def _symbols(self, token: str) -> int:
         return len(token) - len(self.end) if self.end and token.endswith(self.end) and len(token) > len(self.end) else len(token)
@@ -121,59 +157,46 @@ class Merges:
         n = self.width[token]
         return [*token[: n - 1], token[n - 1 :]]
 
-    def _stands(self, left: str, right: str) -> bool:
+    def stand(self, left: str, right: str) -> bool:
         return self.merged([*self.split(left), *self.split(right)]) == [left, right]
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of a word of any length, each as soon as no later symbol can change it."""
-        # tail[i] is the last token of the prefix that ends at position base + i; base itself ends an emitted token.
-        window: list[str] = []
-        tail: list[str | None] = [None]
-        before: str | None = None  # the last emitted token
-        most, states, prefix = 2 * self.lookahead, self.states, ""
+        # tail[room + i] is the last token of the prefix that ends at position base + i; base itself ends an emitted token, or is the word's start ("").
+        room = self.lookahead
+        tail: list[str | None] = [*[None] * room, ""]
+        most, moves, stands, state = 3 * room, self.moves, self.stands, ""
         for s in symbols:
-            window.append(s)
-            if before is None:
-                prefix += s
-                found = states.get(prefix, states)
-                if found is states:
-                    found = self._last(window, tail, None)
-                    if len(s) == 1:  # not a word's end; words are kept by those who ask for them
-                        if len(states) >= STATES:
-                            states.clear()
-                        states[prefix] = found
+            state, tokens = moves.get(state + s) or self._move(state + s, s)
+            for width, token in tokens:  # the longest that stands beside what is before it
+                if stands[tail[-width]][token]:
+                    tail.append(token)
+                    break
             else:
-                found = self._last(window, tail, before)
-            tail.append(found)
+                tail.append(None)
             if len(tail) > most:
                 yield from (done := self._stable(tail))
                 if done:
-                    cut, before = sum(self.width[t] for t in done), done[-1]
-                    window, tail = window[cut:], [None, *tail[cut + 1 :]]
+                    tail = [*[None] * room, done[-1], *tail[room + 1 + sum(self.width[t] for t in done) :]]
         yield from self._path(tail, len(tail) - 1)
 
-    def _last(self, window: list[str], tail: list[str | None], before: str | None) -> str | None:
-        """The last token of the encoding of what has been read up to the window's end: the longest that stands beside what is before it."""
-        endings, stands = self.endings, self.stands
-        start, token, tokens = len(window) - 1, window[-1], []
-        least = max(0, start + 1 - self.lookahead)
-        while (own := endings.get(token)) is not None:  # else no token ends with this, so none with more
-            if own:
-                tokens.append((start, token))
-            if start == least:
-                break
-            start -= 1
-            token = window[start] + token
-        while tokens:  # the longest first
-            start, token = tokens.pop()
-            left = tail[start] if start else before
-            if (start == 0 and before is None) or (left is not None and stands(left, token)):
-                return token
-        return None
+    def _move(self, read: str, symbol: str) -> tuple[str, tuple]:
+        """The automaton's next state, and what ends there; read is its state and the symbol."""
+        at, last = 0, len(read) - len(symbol)
+        while at < last and read[at:] not in self.begins:
+            at += 1
+        if len(self.moves) >= STATES:
+            self.moves.clear()
+        self.moves[read] = move = (read[at:], self.ends(read[at:]))
+        return move
+
+    def _ends(self, state: str) -> tuple:
+        n = self._symbols(state)
+        return tuple((n - i, state[i:]) for i in range(n) if state[i:] in self.own)
 
     def _path(self, tail: list[str | None], at: int) -> list[str]:
         out = []
-        while at:
+        while at > self.lookahead:
             out.append(tail[at])
             at -= self.width[tail[at]]
         return out[::-1]
@@ -194,7 +217,7 @@ class WordBpe:
 
     #: The tokens of words of up to this many symbols are kept for when they come again.
     SHORT = 64
-    #: Characters of a text that are split at a time, about, and tokens of a long chunk that wait for the digests.
+    #: Characters of a text that are split at a time, about, and words, or tokens of a long word, that wait for the digests.
     BLOCK, WAITING = 1 << 16, 4096
 
     def __init__(self, path: str):
@@ -208,40 +231,61 @@ class WordBpe:
         self.token = {i: t for t, i in (self.vocab | self.added).items()}
         self.letters = byte_letters()
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.pattern = re.compile(split.replace(r"\s", SPACE[1:-2]).replace(r"\p{L}", ranges("L")).replace(r"\p{N}", ranges("N")))
+        self.patterns = [re.compile(split.replace(r"\s", SPACE[1:-2]).replace(r"\p{L}", ranges("L", last)).replace(r"\p{N}", ranges("N", last))) for last in LASTS]
+        self.high = re.compile("[\U00010000-\U0010ffff]")
         self.gap = re.compile(SPACE)
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.bytes_of = {c: b for b, c in self.letters.items()}
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-        self.cache: Kept = Kept(CACHE_ENTRIES)  # by chunk: number of ids, ids, decoded ids
+        self.number = {i: str(i) for i in self.token}
+        self.cache: Kept = Kept(CACHE_ENTRIES)  # by word: ids and decoded ids
         self.words: Kept = Kept(CACHE_ENTRIES)  # by word: its tokens
 
     def word(self, word: str) -> Iterable[str]:
         """Tokens of a word, from the transducer; of a long one each as soon as it is stable."""
         if (known := self.words[word]) is not None:
             return known
+        known = self._streamed(word)
+        if len(word) <= self.SHORT:
+            known = tuple(known)
+            self.words.put(word, known)
+        return known
+
+    def _streamed(self, word: str) -> Iterator[str]:
         data = word.encode("utf-8")
         if len(data) > self.SHORT:
             return self.merges.stream(self._symbols(data))
-        symbols = [self.letters[b] for b in data]
-        symbols[-1] += self.merges.end
-        known = tuple(self.merges.stream(symbols))
-        self.words.put(word, known)
-        return known
+        letters = data.decode("latin-1").translate(self.letters)
+        return self.merges.stream([*letters[:-1], letters[-1] + self.merges.end])
 
     def _symbols(self, data: bytes) -> Iterator[str]:
         last = len(data) - 1
         for i, b in enumerate(data):
             yield self.letters[b] if i < last else self.letters[b] + self.merges.end
 
-    def chunk_tokens(self, chunk: str) -> Iterator[str]:
+    def chunk_tokens(self, chunk: str) -> Iterable[str]:
         """Tokens of a text without white space or added tokens."""
-        chunk = chunk.lower() if chunk.isascii() else self.normal.normalize_str(chunk)
-        for m in self.pattern.finditer(chunk):
-            yield from self.word(m[0])
+        return chain.from_iterable(map(self.word, self.split(self.normalised(chunk))))
+
+    def split(self, text: str) -> Iterable[str]:
+        """The words of a normalised text, by the pattern for the characters that it has."""
+        pattern = self.patterns[0 if text.isascii() else 2 if self.high.search(text) else 1]
+        return pattern.findall(text) if len(text) <= 2 * self.BLOCK else (m[0] for m in pattern.finditer(text))
+
+    def normalised(self, text: str) -> str:
+        return text.lower() if text.isascii() else self.normal.normalize_str(text)
 
     def chunks(self, text: str) -> Iterator[str]:
-        """Added tokens and what lies between white space, in order; a text is split block by block."""
+        """Added tokens and what lies between white space, in order."""
+        return chain.from_iterable(self.blocks(text))
+
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """The chunks of a text, block by block."""
+        for block in self.cuts(text):
+            yield [block] if block in self.added else [*filter(None, self.gap.split(block))]
+
+    def cuts(self, text: str) -> Iterator[str]:
+        """Added tokens and blocks of what lies between them, which begin and end at white space or there."""
         at = 0
         for m in self.special.finditer(text) if self.special else ():
             yield from self._plain(text, at, m.start())
@@ -253,7 +297,7 @@ class WordBpe:
         while at < end:
             found = self.gap.search(text, at + self.BLOCK, end)
             to = found.start() if found else end
-            yield from filter(None, self.gap.split(text[at:to]))
+            yield text[at:to]
             at = found.end() if found else end
 
     def ids(self, chunk: str) -> Iterator[int]:
@@ -281,35 +325,43 @@ class WordBpe:
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them; part by part, no list of all ids."""
-        count, ids_hash, text_hash, first = 0, hashlib.sha256(), hashlib.sha256(), True
-        cache, buffer_ids, buffer_text = self.cache, [], []
-        for chunk in self.chunks(text):
-            known = cache[chunk]
-            for n, ids, decoded in (known,) if known is not None else self._encoded(chunk):
-                count += n
-                buffer_ids.append(ids)
-                buffer_text.append(decoded)
-                if len(buffer_ids) >= 4096 or n >= self.WAITING:
-                    self._feed(ids_hash, text_hash, buffer_ids, buffer_text, first)
-                    first, buffer_ids, buffer_text = False, [], []
-        if buffer_ids:
-            self._feed(ids_hash, text_hash, buffer_ids, buffer_text, first)
+        count, ids_hash, text_hash, lead = 0, hashlib.sha256(), hashlib.sha256(), b""
+        for known in self._known(text):
+            ids = b" ".join([k[0] for k in known])
+            count += ids.count(b" ") + 1
+            ids_hash.update(lead + ids)
+            text_hash.update(lead + b" ".join([k[1] for k in known]))
+            lead = b" "
         return count, ids_hash.hexdigest(), text_hash.hexdigest()
 
-    def _encoded(self, chunk: str) -> Iterator[tuple[int, str, str]]:
-        """Number of ids, ids and decoded ids of a chunk, of a long one in parts."""
-        ids = self.ids(chunk)
-        while part := list(islice(ids, self.WAITING)):
-            known = (len(part), " ".join(map(str, part)), self.decode(part))
-            if len(chunk) <= CACHE_CHARS:
-                self.cache.put(chunk, known)
-            yield known
-
-    @staticmethod
-    def _feed(ids_hash, text_hash, ids: list[str], tokens: list[str], first: bool) -> None:
-        lead = "" if first else " "
-        ids_hash.update((lead + " ".join(ids)).encode())
-        text_hash.update((lead + " ".join(tokens)).encode())
+    def _known(self, text: str) -> Iterator[list[tuple[bytes, bytes]]]:
+        """Ids and decoded ids of the words of a text, some words at a time; of a long word in parts."""
+        cache = self.cache
+        for block in self.cuts(text):
+            if block in self.added:
+                yield [self._encoded([self.added[block]])]
+                continue
+            found = iter(self.split(self.normalised(block)))
+            while words := [*islice(found, self.WAITING)]:
+                kept, done = [*map(cache.__getitem__, words)], 0
+                for i in [i for i, known in enumerate(kept) if known is None]:
+                    word = words[i]
+                    if (known := cache.get(word)) is None:  # else met in this block
+                        ids = map(self.vocab.__getitem__, self._streamed(word))
+                        if len(word) <= self.SHORT:
+                            cache.put(word, known := self._encoded([*ids]))
+                        else:
+                            if done < i:
+                                yield kept[done:i]
+                            while part := [*islice(ids, self.WAITING)]:
+                                yield [self._encoded(part)]
+                            done = i + 1
+                    kept[i] = known
+                if done < len(kept):
+                    yield kept[done:] if done else kept
+
+    def _encoded(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return " ".join(map(self.number.__getitem__, ids)).encode(), self.decode(ids).encode()
 
 
 @lru_cache(2)

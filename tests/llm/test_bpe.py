@@ -107,3 +107,20 @@ def test_digests_hold_little_of_a_text(path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8 << 20
+
+
+def test_a_word_is_encoded_once_whatever_stands_beside_it(path, monkeypatch):
+    """Punctuation and capitals make new chunks, but no new work for a word that is known."""
+    mine, decoded = bpe.WordBpe(path), []
+    decode = mine.decode
+    monkeypatch.setattr(mine, "decode", lambda ids: decode(decoded.append(0) or ids))
+    text = " ".join(lead + word + end for lead in ("", "(", "[") for word in ("thing", "Thing", "THING") for end in (",", ".", ";", "!"))
+    assert mine.digests(text)[0] == len(mine.encode(text)) and len(decoded) == 1 + 2 + 4
+
+
+def test_patterns_for_fewer_characters_agree(both):
+    mine = both[0]
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000:
+            text = f"a{chr(c)}{chr(c)}1's"
+            assert [*mine.split(text)] == mine.patterns[-1].findall(text)
