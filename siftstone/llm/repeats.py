@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import dropped, join_counted, picked, release, ship, texts, with_rid, written
+from siftstone.llm.common import SENT_IDS, dropped, join_counted, picked, release, ship, texts, with_rid, written
 
 #: Bytes of a string that may occur once only, and of a gram.
 LENGTH, GRAM = 100, 32
@@ -580,6 +580,15 @@ def keys_over(rows: DataFrame, limit: int) -> DataFrame:
     return written(rows.where("h is not null").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > limit).select(F.col("h").alias("rid")), "hot")
 
 
+def told_apart(met: DataFrame, hot: DataFrame) -> DataFrame:
+    """Anchors with whether their h is among hot.rid, written in place of met: every anchor meets the list once, whatever is read of them later."""
+    keys = hot.select(F.col("rid").alias("h"), F.lit(True).alias("hot"))
+    marked = met.join(F.broadcast(keys) if hot.count() <= SENT_IDS else keys, "h", "left").select("rid", "pos", "h", F.coalesce("hot", F.lit(False)).alias("hot"))
+    out = written(marked, "apart")
+    dropped(met)
+    return out
+
+
 def divided(docs: DataFrame, met: DataFrame, limit: int) -> DataFrame:
     """Contexts of anchors that are in too many of them, by halves of halves, until at most `limit` rows share a key, or all their strings are equal.
 
@@ -592,9 +601,10 @@ def divided(docs: DataFrame, met: DataFrame, limit: int) -> DataFrame:
         hot = keys_over(now, limit)
         if hot.isEmpty():
             break
-        settled = picked(now, hot, "left_anti", "h").select(*now.columns)  # with the marks, whose h is null
+        parts = now.where("h is not null")
+        settled = now.where("h is null").unionByName(picked(parts, hot, "left_anti", "h").select(*now.columns))  # marks need no join
         out = settled if out is None else out.unionByName(settled)
-        now = picked(now, hot, "left_semi", "h").select(*now.columns)
+        now = picked(parts, hot, "left_semi", "h").select(*now.columns)
     return now if out is None else out.unionByName(now)
 
 
@@ -605,7 +615,11 @@ def marks(docs: DataFrame, limit: int) -> DataFrame:
     rest = picked(docs, whole, "left_anti")
     met = meeting_anchors(rest)
     hot = keys_over(met, limit)
-    around = contexts(rest, met) if hot.isEmpty() else contexts(rest, picked(met, hot, "left_anti", "h")).unionByName(divided(rest, picked(met, hot, "left_semi", "h"), limit))
+    if hot.isEmpty():
+        around = contexts(rest, met)
+    else:
+        met = told_apart(met, hot)
+        around = contexts(rest, met.where("not hot").drop("hot")).unionByName(divided(rest, met.where("hot").drop("hot"), limit))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decider = Decider()

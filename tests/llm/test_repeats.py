@@ -161,3 +161,33 @@ def test_a_common_line_gathers_nowhere(spark, docs_of, monkeypatch, length):
     monkeypatch.setattr(frames, "mapInArrow", counted)
     out = repeats.remove_repeats(docs, 200)
     assert out.where("n_removed > 0").isEmpty() and out.count() == 6000 and most and max(most) <= 200
+
+
+def test_anchors_meet_the_list_of_hot_ones_once(docs_of, monkeypatch):
+    """They are told apart in one written table; what reads a part of it later, which happens several times, joins nothing anew."""
+    plans, contexts = [], repeats.contexts
+
+    def spied(docs, met, halve=False):
+        plans.append((halve, met._jdf.queryExecution().optimizedPlan().toString()))
+        return contexts(docs, met, halve)
+
+    monkeypatch.setattr(repeats, "contexts", spied)
+    rows = passages(7)
+    assert rows_of(repeats.remove_repeats(docs_of(rows).coalesce(1), 3)) == plain(rows)
+    assert sorted(halve for halve, _ in plans) == [False, True] and not any("Join" in plan for _, plan in plans)
+
+
+def test_marks_need_no_join(docs_of, monkeypatch):
+    """What is settled already isn't compared with the list of what is still too large; each row of a large group would be, every round."""
+    joined, picked = [], repeats.picked
+
+    def spied(df, ids, how, name="rid", *rest):
+        if name == "h":
+            joined.append(df.where("h is null").count())
+        return picked(df, ids, how, name, *rest)
+
+    monkeypatch.setattr(repeats, "picked", spied)
+    line = "one line that all of these texts have, and that is long enough for a string of its own, with some more words behind it. "
+    rows = [(i, f"text {i * i} begins so; " + line + f"and text {i * 7} ends") for i in range(60)]
+    assert rows_of(repeats.remove_repeats(docs_of(rows).coalesce(1), 3)) == plain(rows)
+    assert joined and not any(joined)
